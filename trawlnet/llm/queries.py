@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlnet.llm import copies
+from trawlnet.llm import copies, tokens
 from trawlnet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def p1_representatives(spark: SparkSession, d: str) -> DataFrame:
     return copies.representatives(_records(spark, d))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_representatives": p1_representatives}
+    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
