@@ -1,2 +1,38 @@
-def oracle_sql():
-    return {}
+"""DuckDB SQL for the registered queries that SQL can express."""
+
+from __future__ import annotations
+
+_P3 = """
+  SELECT 'queue' AS kind, queue_id AS id, count(DISTINCT id) AS n_records FROM requests WHERE queue_id IS NOT NULL GROUP BY queue_id
+  UNION ALL
+  SELECT 'dataset', dataset_id, count(DISTINCT seq) FROM dataset_items WHERE dataset_id IS NOT NULL GROUP BY dataset_id
+"""
+
+_HOST = r"""regexp_replace(lower(regexp_extract(regexp_replace(trim(regexp_replace(url, '\x{A0}', ' ', 'g'), E' \t\r\n'), '[\t\r\n]', '', 'g'),
+  '^[A-Za-z][A-Za-z0-9+.-]*:/{2,}([^/?#:]*)', 1)), '\.+$', '')"""
+
+SQL: dict[str, str] = {
+    "p3_counts": _P3,
+    "p3_found": f"""
+WITH counts AS ({_P3})
+SELECT s.kind, s.id FROM storages s LEFT JOIN counts c ON c.kind = s.kind AND c.id = s.id
+WHERE s.kind IN ('queue', 'dataset')
+  AND CASE WHEN s.kind = 'queue' THEN s.total_request_count ELSE s.item_count END IS DISTINCT FROM coalesce(c.n_records, 0)
+""",
+    # Two labels: right for the pseudo top-level domains of these tables only.
+    "p5_domains": f"""
+WITH all_rows AS (
+  SELECT {_HOST} AS host, unique_key, 0 AS is_host, (order_no IS NULL)::INT AS handled, retry_count, crawl_depth, written_at FROM requests
+  UNION ALL
+  SELECT regexp_replace(lower(hostname), '\\.+$', ''), NULL, 1, 0, 0, NULL, NULL FROM registrable_domain),
+keyed AS (SELECT CASE WHEN regexp_full_match(host, '[0-9.]+|\\[.*') THEN NULL ELSE nullif(regexp_extract(host, '([^.]+\\.[^.]+)$', 1), '') END AS domain, * FROM all_rows)
+SELECT domain, sum(1 - is_host)::BIGINT AS n_requests, sum(is_host)::BIGINT AS n_hostnames, sum(handled)::BIGINT AS n_handled,
+  sum(retry_count)::BIGINT AS n_retries, max(crawl_depth) AS max_depth, min(written_at) AS first_written, max(written_at) AS last_written,
+  count(DISTINCT unique_key) AS n_unique_keys
+FROM keyed GROUP BY domain
+""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

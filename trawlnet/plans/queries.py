@@ -1,4 +1,59 @@
-def link_frontier(spark, d):
+"""The registered queries of the core."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trawlnet.functions.suffixes import hostname, registrable_domains
+from trawlnet.operators import compaction, instants, skew
+from trawlnet.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def link_frontier(spark: SparkSession, d: str) -> DataFrame:
     raise NotImplementedError
-def queries():
-    return {}
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.storage_counts(spark, f"{d}/requests.parquet", f"{d}/dataset_items.parquet")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.miscounted(table(spark, d, "storages"), p3_counts(spark, d))
+
+
+def p5_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Per registrable domain: its requests, their different keys, how they went, and its test hostnames."""
+    requests = table(spark, d, "requests").select(
+        hostname(F.col("url")).alias("host"), "unique_key", F.lit(0).alias("is_host"), F.col("order_no").isNull().cast("int").alias("handled"),
+        "retry_count", "crawl_depth", "written_at",
+    )
+    hosts = table(spark, d, "registrable_domain").select(
+        F.regexp_replace(F.lower("hostname"), r"\.+$", "").alias("host"), F.lit(None).cast("string").alias("unique_key"), F.lit(1).alias("is_host"),
+        F.lit(0).alias("handled"), F.lit(0).alias("retry_count"), F.lit(None).cast("int").alias("crawl_depth"), F.lit(None).cast("timestamp").alias("written_at"),
+    )
+    rows = requests.unionByName(hosts).select(registrable_domains("host").alias("domain"), "*").drop("host")
+    partials = {
+        "n_requests": F.sum(1 - F.col("is_host")),
+        "n_hostnames": F.sum("is_host"),
+        "n_handled": F.sum("handled"),
+        "n_retries": F.sum("retry_count"),
+        "max_depth": F.max("crawl_depth"),
+        "first_written": F.min("written_at"),
+        "last_written": F.max("written_at"),
+    }
+    merges = {n: (F.min if n == "first_written" else F.max if n in ("max_depth", "last_written") else F.sum)(n) for n in partials}
+    out = skew.salted_aggregate(rows, "domain", partials, merges, distinct="unique_key")
+    return out.withColumnRenamed("n_distinct", "n_unique_keys")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return instants.lastmod_instants(spark, table(spark, d, "sitemap_urls"), table(spark, d, "sitemap_xml"), table(spark, d, "sites"))
+
+
+def queries() -> dict[str, Query]:
+    return {"p3_counts": p3_counts, "p3_found": p3_found, "p5_domains": p5_domains, "p6_found": p6_found}
