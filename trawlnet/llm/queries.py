@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlnet.llm import copies, tokens
+from trawlnet.llm import copies, leakage, tokens
 from trawlnet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.reparameterised(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised}
 
 
 def oracle_sql() -> dict[str, str]:
