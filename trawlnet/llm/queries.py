@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlnet.llm import copies, leakage, tokens
+from trawlnet.llm import copies, leakage, personal, tokens
 from trawlnet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,16 @@ def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     return leakage.reparameterised(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised}
+    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
