@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlnet.llm import copies, leakage, personal, tokens
+from trawlnet.llm import boilerplate, copies, leakage, personal, tokens
 from trawlnet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def p1_representatives(spark: SparkSession, d: str) -> DataFrame:
     return copies.representatives(_records(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_content(table(spark, d, "responses"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -45,7 +49,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
