@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlnet.llm import boilerplate, copies, leakage, personal, tokens
+from trawlnet.llm import boilerplate, copies, encodings, leakage, personal, tokens
 from trawlnet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,18 @@ def p1_representatives(spark: SparkSession, d: str) -> DataFrame:
     return copies.representatives(_records(spark, d))
 
 
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.records(table(spark, d, "responses"), table(spark, d, "charset_prescan"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.damaged(_bodies(spark, d))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.restored(_bodies(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_content(table(spark, d, "responses"))
 
@@ -49,7 +61,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p1_found": p1_found, "p1_representatives": p1_representatives, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
