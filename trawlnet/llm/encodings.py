@@ -38,10 +38,12 @@ EVIDENCE = 9.0
 #: Seen less often than this, a neighbourhood says nothing.
 SEEN = 3
 
-_TOKEN = re.compile(r"[^\x00-\x20<>\"=/]*[^\x00-\x7f][^\x00-\x20<>\"=/]*")
+_TOKEN = re.compile(r"[^\x00-\x20<>\"=/]+")
 _DIGIT = re.compile(r"[0-9]+")
 _SURE = re.compile("[�\x80-\x9f]")
-_MEMO = 1 << 17
+_MEMO = 1 << 16
+#: A loss at which a reading of a word isn't followed further.
+WORST = -30.0
 
 
 def _encoded(text: str, charset: str) -> bytes | None:
@@ -61,7 +63,7 @@ def _encoded(text: str, charset: str) -> bytes | None:
     return bytes(out)
 
 
-@lru_cache(_MEMO)
+@lru_cache(1 << 14)
 def readings(token: str) -> tuple[tuple[str, tuple[int, ...]], ...]:
     """What a token may have been, with the swaps (numbers) that give it."""
     out: dict[str, list[int]] = {}
@@ -79,22 +81,19 @@ def readings(token: str) -> tuple[tuple[str, tuple[int, ...]], ...]:
     return tuple((t, tuple(n)) for t, n in out.items())
 
 
-@lru_cache(_MEMO)
-def neighbourhoods(token: str) -> tuple[str, ...]:
+def neighbourhoods(token: str) -> Iterator[str]:
     """Each character with its neighbours, where one of the three is a letter that isn't ASCII; signs that aren't ASCII
     at a word's edge only with the kinds of their neighbours."""
     s = f"^{token.lower()}$"
-    out = []
     for i in range(1, len(s) - 1):
         a, c, z = s[i - 1], s[i], s[i + 1]
         if c > "\x7f" and not c.isalpha():
             inner = a.isalpha() and z.isalpha()
-            out.append(a + c + z if inner else f"{'a' if a.isalpha() else a}{c}{'a' if z.isalpha() else z}")
+            yield a + c + z if inner else f"{'a' if a.isalpha() else a}{c}{'a' if z.isalpha() else z}"
         elif c > "\x7f" or a > "\x7f" and a.isalpha() or z > "\x7f" and z.isalpha():
-            out.append(a + c + z)
+            yield a + c + z
         elif a > "\x7f" or z > "\x7f":
-            out.append(f"{a if a > '\x7f' else '·'}{'a' if c.isalpha() else c}{z if z > '\x7f' else '·'}")
-    return tuple(out)
+            yield f"{a if a > '\x7f' else '·'}{'a' if c.isalpha() else c}{z if z > '\x7f' else '·'}"
 
 
 class Model:
@@ -105,43 +104,68 @@ class Model:
         self.log = {t: math.log(n / total) for t, n in counts.items()}
         self.floor = math.log(0.3 / total)
         self.known = {t for t, n in counts.items() if n >= SEEN}
-        self.memo: dict[str, tuple[dict[int, float], frozenset[int]]] = {}
+        self.alphabet = {c for t in self.known for c in t} | set(map(chr, range(128)))
+        self.memo: dict[str, tuple[dict[int, float], int, tuple[int, ...]]] = {}
         self.lines: dict[str, tuple[int | None, float]] = {}
 
-    def swaps(self, token: str) -> tuple[dict[int, float], frozenset[int]]:
-        """The gain, in nats, of each swap that makes a token another one; and the swaps that gain."""
+    def swaps(self, token: str) -> tuple[dict[int, float], int, tuple[int, ...]]:
+        """The gain, in nats, of each swap that makes a token another one; as bits, the swaps that lose WORST or more; and
+        the swaps that gain."""
         if (found := self.memo.get(token)) is not None:
             return found
-        get, floor = self.log.get, self.floor
+        get, floor, known, alphabet = self.log.get, self.floor, self.known, self.alphabet
         now = sum(get(t, floor) for t in neighbourhoods(token))
         out: dict[int, float] = {}
+        worst = 0
         for text, numbers in readings(token):
-            parts = neighbourhoods(text)
-            gain = sum(get(t, floor) for t in parts) - now
-            # A text that the languages of the corpus don't have isn't a restored one, however short it is.
-            if gain > 0 and sum(t in self.known for t in parts) < 0.7 * len(parts):
-                gain = -1.0
+            gain = WORST
+            if alphabet.issuperset(text.lower()):
+                gain, unseen, n = -now, 0, 0
+                for t in neighbourhoods(text):
+                    gain += get(t, floor)
+                    unseen += t not in known
+                    n += 1
+                    if gain < WORST:
+                        break
+                # A text that the languages of the corpus don't have isn't a restored one, however short it is.
+                if gain > 0 and unseen > 0.3 * n:
+                    gain = -1.0
             for n in numbers:
-                out[n] = gain
+                if gain > WORST:
+                    out[n] = gain
+                else:
+                    worst |= 1 << n
         if len(self.memo) >= _MEMO:
             self.memo.clear()
-        self.memo[token] = out, frozenset(n for n, g in out.items() if g > 0)
+        self.memo[token] = out, worst, tuple(n for n, g in out.items() if g > 0)
         return self.memo[token]
 
+    def suspect(self, tokens: Counter, evidence: float = EVIDENCE) -> bool:
+        """Whether any line made of these tokens could be likelier under a swap by the evidence that's asked for: the
+        gains of all tokens that gain, as if they stood in one line. What isn't suspect needs no look at its lines."""
+        sums: dict[int, float] = {}
+        for token, n in tokens.items():
+            gains, _, gaining = self.memo.get(token) or self.swaps(token)
+            for swap in gaining:
+                sums[swap] = sums.get(swap, 0.0) + n * gains[swap]
+                if sums[swap] >= evidence:
+                    return True
+        return False
+
     def line(self, text: str) -> tuple[int | None, float]:
         """The likeliest swap of a line and its gain; None if the line is likeliest as it is."""
         text = _DIGIT.sub("0", text)
         if (found := self.lines.get(text)) is not None:
             return found
-        own = [self.swaps(t) for t in _TOKEN.findall(text)]
+        own = [self.swaps(t) for t in _TOKEN.findall(text) if not t.isascii()]
         best: tuple[int | None, float] = (None, 0.0)
-        for n in sorted(frozenset().union(*(gaining for _, gaining in own))) if own else ():
-            gain = sum(gains.get(n, 0.0) for gains, _ in own)
+        for n in sorted({n for _, _, gaining in own for n in gaining}):
+            gain = sum(gains[n] if n in gains else WORST * (worst >> n & 1) for gains, worst, _ in own)
             if gain > best[1]:
                 best = n, gain
         if len(self.lines) >= _MEMO:
             self.lines.clear()
-        if len(text) < 300:
+        if len(text) < 120:
             self.lines[text] = best
         return best
 
@@ -173,7 +197,7 @@ def restore_line(line: str, model: Model, evidence: float = EVIDENCE) -> tuple[s
     if swap is None or gain < evidence:
         return line, bool(_SURE.search(line))
     table = _table(swap)
-    known = {t for t in set(_TOKEN.findall(line)) if model.swaps(_DIGIT.sub("0", t))[0].get(swap, 0.0) > 0}
+    known = {t for t in set(_TOKEN.findall(line)) if not t.isascii() and model.swaps(_DIGIT.sub("0", t))[0].get(swap, 0.0) > 0}
 
     def fix(m: re.Match) -> str:
         token = m.group()
@@ -187,6 +211,19 @@ def restore_line(line: str, model: Model, evidence: float = EVIDENCE) -> tuple[s
     return _TOKEN.sub(fix, line), True
 
 
+def tokens(text: str) -> Counter:
+    """The words of a text that aren't ASCII, with digits masked."""
+    return Counter(t if t.isalpha() else _DIGIT.sub("0", t) for t in _TOKEN.findall(text) if not t.isascii())
+
+
+def is_damaged(text: str, model: Model) -> bool:
+    if text.isascii():
+        return False
+    if _SURE.search(text):
+        return True
+    return model.suspect(tokens(text)) and any(restore_line(x, model)[1] for x in text.split("\n"))
+
+
 def _text(raw: bytes | None) -> str:
     return raw.decode("utf-8", "replace") if raw else ""
 
@@ -217,10 +254,13 @@ def _counted(texts: DataFrame, model: object | None, most: int) -> dict[str, int
                 text = _text(raw)
                 if text.isascii():
                     continue
-                for line in text.split("\n") if known else (text,):
-                    if known and not line.isascii():
-                        line = restore_line(line, known)[0]
-                    seen.update(_DIGIT.sub("0", t) for t in _TOKEN.findall(line))
+                own = tokens(text)
+                if known and known.suspect(own):
+                    for line in text.split("\n"):
+                        if not line.isascii():
+                            seen.update(tokens(restore_line(line, known)[0]))
+                else:
+                    seen.update(own)
             if len(seen) > 1 << 16:
                 yield out()
                 seen = Counter()
@@ -245,10 +285,7 @@ def damaged(texts: DataFrame, model: object | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(model.value)
         for b in batches:
-            keep = []
-            for raw in b.column(2).to_pylist():
-                text = _text(raw)
-                keep.append(not text.isascii() and (bool(_SURE.search(text)) or any(restore_line(x, known)[1] for x in text.split("\n"))))
+            keep = [is_damaged(_text(raw), known) for raw in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "rec_id"]).filter(pa.array(keep))
 
     return texts.select("src", "rec_id", "body").mapInArrow(run, "src string, rec_id bigint")
@@ -264,10 +301,8 @@ def restored(texts: DataFrame, model: object | None = None) -> DataFrame:
             rows = []
             for src, i, raw in zip(*(c.to_pylist() for c in b.columns)):
                 text = _text(raw)
-                if text.isascii():
-                    continue
-                lines = [restore_line(x, known) for x in text.split("\n")]
-                if any(d for _, d in lines) or _SURE.search(text):
+                if is_damaged(text, known):
+                    lines = [restore_line(x, known) for x in text.split("\n")]
                     rows.append((src, i, "\n".join(x for x, _ in lines)))
             cols = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_pydict({"src": pa.array(cols[0], pa.string()), "rec_id": pa.array(cols[1], pa.int64()), "text": pa.array(cols[2], pa.string())})
