@@ -428,7 +428,7 @@ def select(html: Column, css: str) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series(
-                [[{"name": e.name, "text": e.text, "attrs": list(e.attrs.items()), "html": e.html} for e in document(x).select(css)] if isinstance(x, str) else [] for x in s],
+                [[{"name": e.name, "text": e.text, "attrs": e.attrs, "html": e.html} for e in document(x).select(css)] if isinstance(x, str) else [] for x in s],
                 dtype=object,
             )
 

@@ -124,7 +124,7 @@ def robots_allowed(urls: DataFrame, files: DataFrame, agent: str = "*", url_col:
     path = F.concat(F.col("_u.path"), F.coalesce(F.concat(F.lit("?"), F.col("_u.query")), F.lit("")))
     parsed = parsed.withColumn("_path", _upper_escapes(path)).withColumn("_origin", F.col("_u.origin"))
     joined = parsed.join(packed.withColumnRenamed("origin", "_origin"), "_origin", "left")
-    hits = F.filter("_rules", lambda r: F.col("_path").rlike(r.regex))
+    hits = F.filter("_rules", lambda r: F.regexp_like(F.col("_path"), r.regex))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r.n, r.allow)))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_u", "_path", "_origin", "_rules")
 

@@ -27,29 +27,31 @@ def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
 
 def salted_aggregate(
     rows: DataFrame,
-    key: str,
+    keys: str | list[str],
     partials: Mapping[str, Column],
     merges: Mapping[str, Column],
     distinct: str | None = None,
     heavy: list | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """(key, merges...): `partials` are aggregates over rows, `merges` aggregates over columns named as the partials.
+    """(keys, merges...): `partials` are aggregates over rows, `merges` aggregates over columns named as the partials.
 
-    With `distinct` the partials may hold `n_distinct`, the exact number of different non-null values of that column,
-    which `merges` adds up. Null keys form one group, as in GROUP BY, and are salted too. An empty table gives no rows.
+    The first of the keys is the one that may be heavy. With `distinct` there's also `n_distinct`, the exact number of
+    different non-null values of that column. Null keys form one group, as in GROUP BY, and are salted too. An empty table
+    gives no rows.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     if heavy is None:
-        heavy = heavy_keys(rows, key)
+        heavy = heavy_keys(rows, keys[0])
     what = F.xxhash64(distinct) if distinct else F.xxhash64(*rows.columns)
-    salt = F.when(F.col(key).isin(heavy) | F.col(key).isNull() if heavy else F.col(key).isNull(), F.pmod(what, F.lit(salts))).otherwise(F.lit(-1))
-    salted = rows.withColumn("_salt", salt.cast("int"))
+    is_heavy = F.col(keys[0]).isNull() | (F.col(keys[0]).isin(heavy) if heavy else F.lit(False))
+    salted = rows.withColumn("_salt", F.when(is_heavy, F.pmod(what, F.lit(salts))).otherwise(F.lit(-1)).cast("int"))
+    names = list(partials)
     if distinct:
         # Equal values of a key meet in one group here, wherever their rows were; only counts go on.
-        inner = salted.groupBy(key, "_salt", F.col(distinct).alias("_value")).agg(*[c.alias(n) for n, c in partials.items()])
-        first = inner.groupBy(key, "_salt").agg(*[merges[n].alias(n) for n in partials], F.count("_value").alias("n_distinct"))
-        names = [*partials, "n_distinct"]
+        inner = salted.groupBy(*keys, "_salt", F.col(distinct).alias("_value")).agg(*[c.alias(n) for n, c in partials.items()])
+        first = inner.groupBy(*keys, "_salt").agg(*[merges[n].alias(n) for n in partials], F.count("_value").alias("n_distinct"))
+        names.append("n_distinct")
     else:
-        first = salted.groupBy(key, "_salt").agg(*[c.alias(n) for n, c in partials.items()])
-        names = [*partials]
-    return first.groupBy(key).agg(*[(merges[n] if n in merges else F.sum(n)).alias(n) for n in names])
+        first = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partials.items()])
+    return first.groupBy(*keys).agg(*[merges.get(n, F.sum(n)).alias(n) for n in names])

@@ -11,6 +11,23 @@ _P3 = """
 _HOST = r"""regexp_replace(lower(regexp_extract(regexp_replace(trim(regexp_replace(url, '\x{A0}', ' ', 'g'), E' \t\r\n'), '[\t\r\n]', '', 'g'),
   '^[A-Za-z][A-Za-z0-9+.-]*:/{2,}([^/?#:]*)', 1)), '\.+$', '')"""
 
+_DOMAIN = r"""CASE WHEN regexp_full_match(host, '[0-9.]+|\[.*') THEN NULL ELSE nullif(regexp_extract(host, '([^.]+\.[^.]+)$', 1), '') END"""
+_ID = "left(regexp_replace(base64(unhex(sha256({text}))), '[+/=]', '', 'g'), {n})"
+_BODY = "decode(body)"
+_IS_PAGE = "status = 200 AND body IS NOT NULL AND mime IN ('text/html', 'application/xhtml+xml')"
+_KIND = """CASE WHEN status IS NULL THEN 'other' WHEN status = 429 THEN 'throttled'
+  WHEN status < 500 AND status NOT IN (401, 403) AND coalesce(mime, 'application/octet-stream') NOT IN ('text/html', 'application/xhtml+xml') THEN 'non_retryable'
+  WHEN status IN (401, 403) THEN 'session' WHEN status >= 500 THEN 'other' END"""
+_MESSAGE = """CASE WHEN status IS NULL THEN 'no response' WHEN kind = 'non_retryable' THEN 'unexpected content type ' || coalesce(mime, 'application/octet-stream')
+  WHEN kind = 'session' THEN 'blocked: status ' || status WHEN kind = 'throttled' THEN '429 too many requests' WHEN kind IS NOT NULL THEN 'status ' || status END"""
+_ATTEMPTS = """attempts AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' WHEN 'click' THEN 'retry' ELSE 'ok' END AS outcome,
+  floor(value)::BIGINT AS duration_ms FROM events)"""
+_STATS = """SELECT {keys} count(*) FILTER (outcome = 'ok') AS requests_succeeded, count(*) FILTER (outcome = 'failed') AS requests_failed,
+  count(*) FILTER (outcome = 'retry') AS requests_retries, count(*) FILTER (outcome = 'skipped') AS requests_skipped,
+  coalesce(sum(duration_ms) FILTER (outcome = 'ok'), 0)::BIGINT AS succeeded_ms, coalesce(sum(duration_ms) FILTER (outcome = 'failed'), 0)::BIGINT AS failed_ms,
+  coalesce(min(duration_ms) FILTER (outcome IN ('ok', 'failed')), 0)::BIGINT AS min_duration_ms,
+  coalesce(max(duration_ms) FILTER (outcome IN ('ok', 'failed')), 0)::BIGINT AS max_duration_ms FROM attempts {group}"""
+
 SQL: dict[str, str] = {
     "p3_counts": _P3,
     "p3_found": f"""
@@ -19,17 +36,128 @@ SELECT s.kind, s.id FROM storages s LEFT JOIN counts c ON c.kind = s.kind AND c.
 WHERE s.kind IN ('queue', 'dataset')
   AND CASE WHEN s.kind = 'queue' THEN s.total_request_count ELSE s.item_count END IS DISTINCT FROM coalesce(c.n_records, 0)
 """,
-    # Two labels: right for the pseudo top-level domains of these tables only.
-    "p5_domains": f"""
+    **{
+        # Two labels: right for the pseudo top-level domains of these tables only.
+        name: f"""
 WITH all_rows AS (
   SELECT {_HOST} AS host, unique_key, 0 AS is_host, (order_no IS NULL)::INT AS handled, retry_count, crawl_depth, written_at FROM requests
   UNION ALL
   SELECT regexp_replace(lower(hostname), '\\.+$', ''), NULL, 1, 0, 0, NULL, NULL FROM registrable_domain),
-keyed AS (SELECT CASE WHEN regexp_full_match(host, '[0-9.]+|\\[.*') THEN NULL ELSE nullif(regexp_extract(host, '([^.]+\\.[^.]+)$', 1), '') END AS domain, * FROM all_rows)
-SELECT domain, sum(1 - is_host)::BIGINT AS n_requests, sum(is_host)::BIGINT AS n_hostnames, sum(handled)::BIGINT AS n_handled,
+keyed AS (SELECT {_DOMAIN} AS domain, CAST(written_at AS DATE) AS day, * FROM all_rows)
+SELECT {keys}, sum(1 - is_host)::BIGINT AS n_requests, sum(is_host)::BIGINT AS n_hostnames, sum(handled)::BIGINT AS n_handled,
   sum(retry_count)::BIGINT AS n_retries, max(crawl_depth) AS max_depth, min(written_at) AS first_written, max(written_at) AS last_written,
   count(DISTINCT unique_key) AS n_unique_keys
-FROM keyed GROUP BY domain
+FROM keyed GROUP BY {keys}
+"""
+        for name, keys in (("p5_domains", "domain"), ("p5_domain_days", "domain, day"))
+    },
+    "request_ids": f"""
+SELECT row_id, {_ID.format(text="unique_key", n=15)} AS request_id,
+  CASE WHEN coalesce(payload, '') = '' THEN '' ELSE {_ID.format(text="payload", n=8)} END AS payload_hash
+FROM requests
+""",
+    "host_names": f"SELECT row_id, nullif({_HOST}, '') AS host FROM requests",
+    "domain_names": f"SELECT case_id, {_DOMAIN} AS domain FROM (SELECT case_id, regexp_replace(lower(hostname), '\\.$', '') AS host FROM registrable_domain)",
+    "pattern_filter": """
+SELECT row_id, url FROM requests
+WHERE regexp_matches(url, '(?is)^https?://(?:.*/)?(?:catalog|shop)/(?:.*)$') AND NOT regexp_matches(url, '(?is)utm_')
+""",
+    "links_per_page": f"""
+SELECT response_id, len(list_filter(regexp_extract_all({_BODY}, '<a[^>]*href="([^"]*)"', 1), lambda x: x <> ''))::BIGINT AS n_links FROM responses WHERE {_IS_PAGE}
+""",
+    "page_headings": f"""
+WITH h AS (SELECT response_id, regexp_extract_all({_BODY}, '(?m)^<h2>(.*?)</h2>', 1) AS e FROM responses WHERE {_IS_PAGE})
+SELECT response_id, len(e)::BIGINT AS n, e[1] AS first_heading FROM h
+""",
+    "declared_charsets": "SELECT case_id, expected AS charset FROM charset_prescan",
+    "decoded_lengths": f"SELECT response_id, length({_BODY})::BIGINT AS n_chars FROM responses WHERE body IS NOT NULL",
+    "robots_decisions": """
+WITH u AS (SELECT row_id, trim(regexp_replace(url, '[\\t\\r\\n]', '', 'g')) AS url FROM requests),
+p AS (SELECT row_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:/{2,}[^/?#]*([^#]*)', 1) AS path FROM u),
+f AS (SELECT row_id, CASE WHEN left(path, 1) = '/' THEN path ELSE '/' || path END AS path FROM p)
+SELECT row_id, CASE WHEN regexp_matches(path, '^/[^?]*\\?.*page=') OR starts_with(path, '/archive') THEN starts_with(path, '/archive/ribbon') ELSE true END AS allowed,
+  2.0::DOUBLE AS crawl_delay
+FROM f
+""",
+    "sitemap_entries": """
+SELECT sitemap_id, (i - 1)::INT AS pos, CASE WHEN items[i].sitemap IS NOT NULL THEN 'sitemap' ELSE 'url' END AS kind,
+  coalesce(items[i].sitemap, items[i].loc) AS loc, items[i].priority AS priority
+FROM sitemap_xml, unnest(range(1, len(items) + 1)) AS t(i)
+""",
+    "change_frequencies": """
+SELECT CASE WHEN changefreq IN ('always', 'hourly', 'daily', 'weekly', 'monthly', 'yearly', 'never') THEN changefreq END AS changefreq, count(*) AS n
+FROM sitemap_urls GROUP BY 1
+""",
+    "frontier_first": """
+SELECT queue_id, id, row_id FROM requests QUALIFY row_number() OVER (PARTITION BY queue_id, id ORDER BY row_id) = 1
+""",
+    "frontier_add": """
+SELECT r.unique_key, r.id AS request_id,
+  (h.id IS NOT NULL OR row_number() OVER (PARTITION BY r.id ORDER BY r.row_id) > 1) AS was_already_present, h.id IS NOT NULL AS was_already_handled
+FROM requests r LEFT JOIN (SELECT DISTINCT id FROM requests WHERE order_no IS NULL) h ON h.id = r.id
+WHERE r.order_no IS NOT NULL
+""",
+    "frontier_next": "SELECT row_id, id FROM requests WHERE order_no IS NOT NULL ORDER BY order_no, row_id LIMIT 100",
+    "frontier_counts": """
+SELECT queue_id, count(*) AS total, count(*) FILTER (order_no IS NULL) AS handled, count(*) FILTER (order_no IS NOT NULL) AS pending FROM requests GROUP BY 1
+""",
+    "frontier_orders": "SELECT row_id, row_number() OVER (ORDER BY row_id) AS n FROM requests",
+    "response_classes": f"SELECT response_id, {_KIND} AS error_kind, {_MESSAGE} AS error_message FROM (SELECT *, {_KIND} AS kind FROM responses)",
+    "retry_states": f"""
+WITH q AS (SELECT * FROM requests QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1),
+x AS (SELECT r.response_id, q.retry_count, len(coalesce(q.error_messages, [])) AS n, {_KIND} AS kind, coalesce(q.no_retry, false) AS no_retry,
+  coalesce(q.max_retries, 3) AS most FROM responses r JOIN q ON q.id = r.request_id),
+y AS (SELECT *, CASE WHEN kind IS NULL THEN 'ok' WHEN kind IN ('skipped', 'throttled', 'critical') THEN kind
+  WHEN no_retry OR kind = 'non_retryable' THEN 'failed' WHEN retry_count < most THEN 'retry' ELSE 'failed' END AS outcome FROM x)
+SELECT response_id, outcome, CASE WHEN outcome IN ('ok', 'skipped', 'failed') THEN 'handled' WHEN outcome = 'throttled' THEN 'front' WHEN outcome = 'retry' THEN 'end' ELSE 'stop' END AS next,
+  retry_count + (outcome = 'retry')::INT AS retry_count, (n + (outcome IN ('retry', 'failed'))::INT)::INT AS n_errors
+FROM y
+""",
+    "statistics": f"""
+WITH {_ATTEMPTS}, a AS ({_STATS.format(keys="", group="")})
+SELECT *, requests_succeeded + requests_failed AS requests_total, requests_succeeded + requests_failed + requests_skipped AS requests_finished,
+  CASE WHEN requests_succeeded > 0 THEN round(succeeded_ms / requests_succeeded) ELSE 0 END::BIGINT AS avg_succeeded_ms,
+  CASE WHEN requests_failed > 0 THEN round(failed_ms / requests_failed) ELSE 0 END::BIGINT AS avg_failed_ms,
+  round(requests_succeeded * 60000 / 3600000)::BIGINT AS succeeded_per_minute, floor(requests_failed * 60000 / 3600000)::BIGINT AS failed_per_minute
+FROM a
+""",
+    "statistics_by_user": f"""
+WITH {_ATTEMPTS}, a AS ({_STATS.format(keys="user_id,", group="GROUP BY user_id")})
+SELECT user_id, requests_succeeded + requests_failed + requests_skipped AS requests_finished, requests_failed, requests_succeeded + requests_failed AS requests_total,
+  min_duration_ms, max_duration_ms, CASE WHEN requests_succeeded > 0 THEN round(succeeded_ms / requests_succeeded) ELSE 0 END::BIGINT AS avg_succeeded_ms
+FROM a
+""",
+    "retry_counts": """
+SELECT t.i AS retries, count(r.row_id) AS n FROM range(0, (SELECT max(retry_count) + 1 FROM requests)) AS t(i) LEFT JOIN requests r ON r.retry_count = t.i GROUP BY 1
+""",
+    "status_counts": "SELECT status, count(*) AS n FROM responses WHERE status BETWEEN 400 AND 599 GROUP BY 1",
+    "error_counts": """
+SELECT regexp_replace(left(split_part(m, E'\\n', 1), 200), '[0-9]+', '_', 'g') AS error_group, count(*) AS n
+FROM (SELECT unnest(error_messages) AS m FROM requests) GROUP BY 1
+""",
+    "minute_loads": """
+WITH s AS (SELECT event_type, epoch_us(ts) // 1000000 AS second, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, second, n, sum(n) OVER (PARTITION BY event_type ORDER BY second RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)::BIGINT AS in_last_minute FROM s
+""",
+    "overload_ratios": """
+WITH e AS (SELECT user_id AS signal, epoch_us(ts) // 1000 AS ms, (event_type = 'error')::INT AS o FROM events),
+w AS (SELECT signal, o, greatest(ms - lag(ms) OVER (PARTITION BY signal ORDER BY ms, o), 0) AS w, lag(ms) OVER (PARTITION BY signal ORDER BY ms, o) AS p FROM e),
+a AS (SELECT signal, sum(CASE WHEN p IS NULL THEN NULL WHEN w = 0 THEN o ELSE w * o END) / sum(CASE WHEN p IS NULL THEN NULL WHEN w = 0 THEN 1 ELSE w END) AS r,
+  max(CASE WHEN p IS NULL THEN o END) AS f FROM w GROUP BY signal)
+SELECT signal, round(coalesce(r, f::DOUBLE, 0.0), 6) AS ratio, coalesce(r, f::DOUBLE, 0.0) > 0.2 AS is_overloaded FROM a
+""",
+    "dataset_page": "SELECT row_id AS seq, item FROM dataset_items ORDER BY row_id DESC LIMIT 50 OFFSET 100",
+    "dataset_columns": """
+SELECT row_id AS seq, item->>'$.url' AS url, item->>'$.title' AS title, (item->>'$.price')::DOUBLE AS price FROM dataset_items
+""",
+    "store_current": """
+SELECT dataset_id || '-' || seq AS key, row_id AS seq, item AS text FROM dataset_items
+QUALIFY row_number() OVER (PARTITION BY dataset_id, dataset_items.seq ORDER BY row_id DESC) = 1
+""",
+    "store_keys": """
+WITH k AS (SELECT dataset_id || '-' || seq AS key, row_id, item FROM dataset_items QUALIFY row_number() OVER (PARTITION BY dataset_id, seq ORDER BY row_id DESC) = 1),
+f AS (SELECT key, octet_length(encode(item))::INT AS size FROM k WHERE starts_with(key, 'd0000') AND key > 'd000001')
+SELECT key, size, (SELECT count(*) FROM f) > 1000 AS is_truncated FROM f ORDER BY key LIMIT 1000
 """,
 }
 
