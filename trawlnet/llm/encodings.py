@@ -224,8 +224,18 @@ def is_damaged(text: str, model: Model) -> bool:
     return model.suspect(tokens(text)) and any(restore_line(x, model)[1] for x in text.split("\n"))
 
 
+_REFERENCE = re.compile(r"&#(?:([0-9]{2,7})|[xX]([0-9a-fA-F]{2,6}));")
+
+
+def _character(m: re.Match) -> str:
+    n = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(n) if 0x80 <= n < 0xD800 or 0xE000 <= n < 0x110000 else m.group()
+
+
 def _text(raw: bytes | None) -> str:
-    return raw.decode("utf-8", "replace") if raw else ""
+    """The text of a body; damaged letters may have been written as character references since."""
+    text = raw.decode("utf-8", "replace") if raw else ""
+    return _REFERENCE.sub(_character, text) if "&#" in text else text
 
 
 def records(responses: DataFrame, charset_prescan: DataFrame) -> DataFrame:
