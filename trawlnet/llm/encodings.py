@@ -189,13 +189,24 @@ def _table(swap: int) -> dict[int, str] | None:
     return out
 
 
+#: Damage upon damage is undone so many times at most.
+LAYERS = 3
+
+
 def restore_line(line: str, model: Model, evidence: float = EVIDENCE) -> tuple[str, bool]:
     """The line as it was written, and whether it was damaged. Words that the swap can't have made stay."""
-    if line.isascii():
-        return line, False
-    swap, gain = model.line(line)
-    if swap is None or gain < evidence:
-        return line, bool(_SURE.search(line))
+    damaged = bool(_SURE.search(line))
+    for _ in range(LAYERS):
+        if line.isascii():
+            break
+        swap, gain = model.line(line)
+        if swap is None or gain < evidence:
+            break
+        line, damaged = _undone(line, swap, model), True
+    return line, damaged
+
+
+def _undone(line: str, swap: int, model: Model) -> str:
     table = _table(swap)
     known = {t for t in set(_TOKEN.findall(line)) if not t.isascii() and model.swaps(_DIGIT.sub("0", t))[0].get(swap, 0.0) > 0}
 
@@ -208,7 +219,7 @@ def restore_line(line: str, model: Model, evidence: float = EVIDENCE) -> tuple[s
         raw = _encoded(token, READ[swap // len(WRITTEN)])
         return raw.decode(WRITTEN[swap % len(WRITTEN)], "replace") if raw is not None else token
 
-    return _TOKEN.sub(fix, line), True
+    return _TOKEN.sub(fix, line)
 
 
 def tokens(text: str) -> Counter:
