@@ -118,15 +118,15 @@ def robots_allowed(urls: DataFrame, files: DataFrame, agent: str = "*", url_col:
     packed = (
         pick.join(of_group, ["origin", "agent"], "left")
         .groupBy("origin")
-        .agg(F.first("_d.crawl_delay").alias("crawl_delay"), F.array_compact(F.collect_list(F.when(F.col("regex").isNotNull(), F.struct(F.length("pattern").alias("n"), "allow", "regex")))).alias("_rules"))
+        .agg(F.first("_d.crawl_delay").alias("crawl_delay"), F.array_compact(F.collect_list(F.when(F.col("regex").isNotNull(), F.struct(F.length("pattern").alias("n"), "allow", "regex")))).alias("_robots_rules"))
     )
-    parsed = urls.withColumn("_u", url_parts(F.col(url_col)))
-    path = F.concat(F.col("_u.path"), F.coalesce(F.concat(F.lit("?"), F.col("_u.query")), F.lit("")))
-    parsed = parsed.withColumn("_path", _upper_escapes(path)).withColumn("_origin", F.col("_u.origin"))
-    joined = parsed.join(packed.withColumnRenamed("origin", "_origin"), "_origin", "left")
-    hits = F.filter("_rules", lambda r: F.regexp_like(F.col("_path"), r.regex))
+    parsed = urls.withColumn("_robots_url", url_parts(F.col(url_col)))
+    path = F.concat(F.col("_robots_url.path"), F.coalesce(F.concat(F.lit("?"), F.col("_robots_url.query")), F.lit("")))
+    parsed = parsed.withColumn("_robots_path", _upper_escapes(path)).withColumn("_robots_origin", F.col("_robots_url.origin"))
+    joined = parsed.join(packed.withColumnRenamed("origin", "_robots_origin"), "_robots_origin", "left")
+    hits = F.filter("_robots_rules", lambda r: F.regexp_like(F.col("_robots_path"), r.regex))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r.n, r.allow)))
-    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_u", "_path", "_origin", "_rules")
+    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_robots_url", "_robots_path", "_robots_origin", "_robots_rules")
 
 
 def _upper_escapes(path: Column) -> Column:

@@ -62,6 +62,7 @@ def next_state(attempts: DataFrame, default_retries: int = MAX_RETRIES) -> DataF
     one more retry and its message. failed: handled with its message. Session errors retire the session either way.
     """
     k = F.col("error_kind")
+    attempts = attempts.withColumn("retry_count", F.coalesce("retry_count", F.lit(0)))
     again = retries(k, F.col("no_retry"), F.col("retry_count"), F.col("max_retries"), default_retries)
     outcome = F.when(k.isNull(), "ok").when(k.isin("skipped", "throttled", "critical"), k).when(again, "retry").otherwise("failed")
     x = attempts.withColumn("outcome", outcome)

@@ -25,8 +25,8 @@ def overload(snapshots: DataFrame, window_ms: int | None = None, by: list[str] |
         # What comes after the last element that's too old.
         x = x.withColumn("_old", F.col("_ms") < newest - window_ms).where("not _old")
     order = Window.partitionBy(*keys).orderBy("_ms", "_o")
-    w = F.greatest(F.col("_ms") - F.lag("_ms").over(order), F.lit(0))
-    x = x.withColumn("_w", F.when(w == 0, 1).otherwise(w))
+    gap = F.col("_ms") - F.lag("_ms").over(order)  # null for the first; greatest() would make that a number
+    x = x.withColumn("_w", F.when(gap > 0, gap).when(gap <= 0, 1))
     a = x.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("_o")).alias("_a"), F.sum("_w").alias("_b"), F.max(F.when(F.col("_w").isNull(), F.col("_o"))).alias("_first"))
     ratio = F.coalesce(F.col("_a") / F.col("_b"), F.col("_first").cast("double"), F.lit(0.0))
     return a.select(*keys, ratio.alias("ratio"), (ratio > limit).alias("is_overloaded"))
