@@ -139,7 +139,7 @@ def test_leaks(spark):
     cases = {
         1: (" ".join(words[3:20]), True), 2: (" ".join(words[3:17]), False), 3: ("x " + " ".join(words[3:22]).upper().replace(" ", " <b>​</b> ") + " y", True),
         4: (" ".join(w if i != 8 else "zzz" for i, w in enumerate(words[3:21])), True), 5: (" ".join(w if i % 5 else "zzz" for i, w in enumerate(words[3:25])), False),
-        6: (ITEM.replace("Melvorpel", "Zantor").replace("525", "3").replace("755", "4"), False), 7: (None, False), 8: ("", False), 9: ("Read the passage.", False),
+        6: (ITEM.removeprefix("Read the passage. ").replace("Melvorpel", "Zantor").replace("525", "3").replace("755", "4"), False), 7: (None, False), 8: ("", False), 9: ("Read the passage.", False),
     }
     docs = spark.createDataFrame([(i, t, 1) for i, (t, _) in cases.items()], "doc_id bigint, text string, item_id int")
     bench = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, None), (4, "")], "item_id bigint, text string")
