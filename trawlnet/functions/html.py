@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawlnet.functions.urls import URL_PARTS, parse, parsed, _parts
+from trawlnet.functions.urls import URL_PARTS, Url, _parts, parse, parsed
 
 _RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -341,38 +341,83 @@ def document(html: str) -> Element:
     return root
 
 
-def links(html: str, selector: str = "a", base_url: str | None = None) -> list[str]:
-    """The absolute URLs of the elements that match, in document order, repeated ones included.
+#: A comment, a declaration, or a whole tag with its attributes; last, a tag that isn't whole.
+_SCAN = re.compile(r"<!--.*?-->|<[!?][^>]*>|<([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*+)>|</[A-Za-z](?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*+>|<(?:!--|/?[A-Za-z])", re.S)
+
+
+def _scanned(html: str, names: frozenset[str]) -> list[tuple[str, dict[str, str]]] | None:
+    """(name, attributes) of the elements with these names that start in the page; None if a tag isn't whole, which
+    tokens() is for. Other tags are passed over without a look at their attributes."""
+    out, at = [], 0
+    while m := _SCAN.search(html, at):
+        at = m.end()
+        name = m[1]
+        if name is None:
+            if m.group() == "<!--" or m.end() - m.start() < 3 or m.group()[-1] != ">":
+                return None
+            continue
+        name = name.lower()
+        if name in names:
+            attributes: dict[str, str] = {}
+            for a in _ATTR.finditer(m[2]):
+                if a[1]:
+                    attributes.setdefault(a[1].lower(), unescape(next((v for v in a.groups()[1:] if v is not None), ""), True))
+            out.append((name, attributes))
+        if name in _RAW:
+            stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+            if not stop:
+                break
+            at = stop.start()
+    return out
+
+
+def link_urls(html: str, selector: str = "a", base_url: str | None = None) -> list[Url]:
+    """The URLs of the elements that match, in document order, repeated ones included.
 
     The first base element wherever it stands holds for all; empty references are dropped, blank ones are the page itself.
     """
     base = parsed(base_url) if base_url else None
+    compiled = compile_selector(selector)
+    hrefs: list[str] = []
+    bases: list[str] = []
     if not is_streaming_selector(selector):
         tree = document(html)
         hrefs = [e.attrs.get("href") for e in tree.select(selector)]
         bases = [e.attrs["href"] for e in tree.select("base[href]")]
     else:
-        compiled = compile_selector(selector)
         flat = all(len(chain) == 1 for chain in compiled)
-        hrefs, bases, here = [], [], Element("#document", {})
-        for t in tokens(html):
-            if t[0] == "start":
-                e = Element(t[1], t[2], here)
-                if t[1] == "base" and "href" in t[2]:
-                    bases.append(t[2]["href"])
-                if "href" in t[2] and matches(e, compiled):
-                    hrefs.append(t[2]["href"])
-                if not flat and t[1] not in VOID and not t[3]:
-                    here = e
-            elif t[0] == "end" and not flat:
-                e = here
-                while e.parent is not None and e.name != t[1]:
-                    e = e.parent
-                here = e.parent or here
+        tags = {chain[0][1].tag for chain in compiled} if flat else {None}
+        found = None if None in tags else _scanned(html, frozenset(tags) | {"base"})
+        if found is not None:
+            starts = ((name, attrs, True) for name, attrs in found)
+        else:
+            starts = ((t[1], t[2], t[3]) if t[0] == "start" else (t[1], None, True) for t in tokens(html) if t[0] != "text")
+        here = Element("#document", {})
+        for name, attrs, closed in starts:
+            if attrs is None:
+                if not flat:
+                    e = here
+                    while e.parent is not None and e.name != name:
+                        e = e.parent
+                    here = e.parent or here
+                continue
+            e = Element(name, attrs, here)
+            if "href" in attrs:
+                if name == "base":
+                    bases.append(attrs["href"])
+                if matches(e, compiled):
+                    hrefs.append(attrs["href"])
+            if not flat and name not in VOID and not closed:
+                here = e
     if bases:
         base = parse(bases[0].strip(), base) or base
     urls = (parse(h, base) for h in hrefs if h)
-    return [u.href for u in urls if u]
+    return [u for u in urls if u]
+
+
+def links(html: str, selector: str = "a", base_url: str | None = None) -> list[str]:
+    """link_urls() as texts."""
+    return [u.href for u in link_urls(html, selector, base_url)]
 
 
 def title(html: str) -> str | None:
@@ -404,8 +449,8 @@ def page_links(html: Column, base_url: Column, selector: str = "a") -> Column:
         for pages, bases in parts:
             out = []
             for h, b in zip(pages, bases):
-                found = links(h, selector, b) if isinstance(h, str) else []
-                out.append([{"pos": i, "url": dict(zip(names, _parts(parse(u))))} for i, u in enumerate(found)])
+                found = link_urls(h, selector, b if isinstance(b, str) else None) if isinstance(h, str) else []
+                out.append([{"pos": i, "url": dict(zip(names, _parts(u)))} for i, u in enumerate(found)])
             yield pd.Series(out, dtype=object)
 
     return run(html, base_url)

@@ -206,7 +206,7 @@ def _relative(s: str, base: Url) -> Url | None:
     return replace(base, path=_segments(path, base.path.split("/")[1:-1], base.special), query=query, fragment=fragment)
 
 
-@lru_cache(1 << 12)
+@lru_cache(1 << 14)
 def parsed(text: str) -> Url | None:
     """parse() that remembers; pages share base URLs."""
     return parse(text)
@@ -262,7 +262,7 @@ def _frame(urls: list[Url | None]) -> pd.DataFrame:
 def url_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The parsed URL; all fields are null for what is no URL."""
     for s in parts:
-        yield _frame([parse(x) if isinstance(x, str) else None for x in s])
+        yield _frame([parsed(x) if isinstance(x, str) else None for x in s])
 
 
 @F.pandas_udf(T.StringType())

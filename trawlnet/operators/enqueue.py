@@ -32,14 +32,15 @@ class EnqueueOptions:
 
 
 def skip_reasons(links: DataFrame, options: EnqueueOptions, robots: DataFrame | None = None) -> DataFrame:
-    """`links` (src_id, pos, url, base_url, depth of the page) with `skip_reason`, null for links to enqueue.
+    """`links` (src_id, pos, url, base_url, depth of the page; `_u` if the URL was parsed already) with `skip_reason`, null for links to enqueue.
 
     In this order: scheme and strategy, patterns, a copy within the page (of the URL text; 'duplicate'), depth, robots. The
     copies of a filtered link have its reason, those of a passing one are duplicates. Pages' links don't meet: the window
     is over one page.
     """
     o = options
-    x = links.withColumn("_u", url_parts("url")).withColumn("_b", url_parts("base_url"))
+    x = links if "_u" in links.columns else links.withColumn("_u", url_parts("url"))
+    x = x.withColumn("_b", url_parts("base_url"))
     x = x.withColumn("_ud", registrable_domains(F.col("_u.host"))).withColumn("_bd", registrable_domains(F.col("_b.host")))
     x = x.withColumn("_r1", rejection(F.lit(o.strategy), F.col("_u"), F.col("_b"), F.col("_ud"), F.col("_bd")))
     x = x.withColumn("_r1", F.coalesce("_r1", F.when(~passes(F.col("_u.href"), o.include, o.exclude, o.include_regex, o.exclude_regex), "pattern")))

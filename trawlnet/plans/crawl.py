@@ -55,12 +55,12 @@ def decoded(pages: DataFrame, mime: str = "mime", charset: str = "charset") -> D
 
 
 def links_of(pages: DataFrame, options: EnqueueOptions, selector: str = "a") -> DataFrame:
-    """(src_id, pos, url, base_url, depth) of the links of fetched pages (id, url, loaded_url, text, crawl_depth)."""
+    """(src_id, pos, url, base_url, depth, _u) of the links of fetched pages (id, url, loaded_url, text, crawl_depth)."""
     x = pages.withColumn("_o", url_parts("url")).withColumn("_f", url_parts("loaded_url"))
     x = x.withColumn("_od", registrable_domains(F.col("_o.host"))).withColumn("_fd", registrable_domains(F.col("_f.host")))
     base = filter_base(F.lit(options.strategy), F.lit(None).cast("string"), F.col("url"), F.col("loaded_url"), F.col("_od"), F.col("_fd"))
     x = x.select(F.col("id").alias("src_id"), base.alias("base_url"), F.coalesce("crawl_depth", F.lit(0)).alias("depth"), page_links(F.col("text"), F.coalesce("loaded_url", "url"), selector).alias("_l"))
-    return x.select("src_id", "base_url", "depth", F.explode("_l").alias("l")).select("src_id", F.col("l.pos").alias("pos"), F.col("l.url.href").alias("url"), "base_url", "depth")
+    return x.select("src_id", "base_url", "depth", F.explode("_l").alias("l")).select("src_id", F.col("l.pos").alias("pos"), F.col("l.url.href").alias("url"), "base_url", "depth", F.col("l.url").alias("_u"))
 
 
 def seed_queue(spark: SparkSession, seeds: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from trawlnet.operators import frontier as Q
 from trawlnet.operators.enqueue import EnqueueOptions, skip_reasons, to_requests
 from trawlnet.operators.requests import build_requests, from_wire, to_wire
 from trawlnet.plans.crawl import CrawlOptions, crawl, decoded, links_of
-from trawlnet.session import table
+from trawlnet.session import spread, table
 from trawlnet.sources.fetchers import PagesFetcher
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Captured pages of HTML with their text."""
     x = table(spark, d, "responses").where("status = 200 and body is not null").where(F.col("mime").isin(*A.PAGE_TYPES))
-    return x.select(F.col("response_id"), F.col("request_id").alias("id"), "url", F.col("url").alias("loaded_url"), F.decode("body", "UTF-8").alias("text"))
+    return spread(x.select(F.col("response_id"), F.col("request_id").alias("id"), "url", F.col("url").alias("loaded_url"), F.decode("body", "UTF-8").alias("text")))
 
 
 def link_frontier(spark: SparkSession, d: str) -> DataFrame:

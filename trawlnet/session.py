@@ -71,3 +71,9 @@ def local_path(uri: str) -> str | None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over all cores before work in Python, where they come from fewer files than there are cores; no shuffle else."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
