@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawlnet.session import spread
+
 #: Charsets text is read in by mistake, and charsets it's written in.
 READ = "latin-1 cp1252 cp1250 cp1251 cp1253 iso8859-2 iso8859-15 iso8859-7 mac_roman cp850 cp437 cp866 koi8-r gbk cp932".split()
 WRITTEN = "utf-8 cp1252 cp1250 cp1251 cp1253 iso8859-2 iso8859-5 iso8859-7 mac_roman cp850 cp866 koi8-r cp932 euc_jp".split()
@@ -193,10 +195,10 @@ def _table(swap: int) -> dict[int, str] | None:
 LAYERS = 3
 
 
-def restore_line(line: str, model: Model, evidence: float = EVIDENCE) -> tuple[str, bool]:
+def restore_line(line: str, model: Model, evidence: float = EVIDENCE, layers: int = LAYERS) -> tuple[str, bool]:
     """The line as it was written, and whether it was damaged. Words that the swap can't have made stay."""
     damaged = bool(_SURE.search(line))
-    for _ in range(LAYERS):
+    for _ in range(layers):
         if line.isascii():
             break
         swap, gain = model.line(line)
@@ -253,7 +255,7 @@ def records(responses: DataFrame, charset_prescan: DataFrame) -> DataFrame:
     """(src, rec_id, body) of both tables that hold bodies."""
     a = responses.select(F.lit("responses").alias("src"), F.col("response_id").alias("rec_id"), "body")
     b = charset_prescan.select(F.lit("charset_prescan").alias("src"), F.col("case_id").alias("rec_id"), F.col("html").alias("body"))
-    return a.unionByName(b).where("rec_id is not null and body is not null")
+    return spread(a.unionByName(b).where("rec_id is not null and body is not null"))
 
 
 def _counted(texts: DataFrame, model: object | None, most: int) -> dict[str, int]:
@@ -279,7 +281,7 @@ def _counted(texts: DataFrame, model: object | None, most: int) -> dict[str, int
                 if known and known.suspect(own):
                     for line in text.split("\n"):
                         if not line.isascii():
-                            seen.update(tokens(restore_line(line, known)[0]))
+                            seen.update(tokens(restore_line(line, known, layers=1)[0]))
                 else:
                     seen.update(own)
             if len(seen) > 1 << 16:

@@ -1,7 +1,7 @@
 """Evaluation items that leaked into training text (problem 8).
 
 Texts become words: markup, invisible characters, letter case, punctuation and width variants are gone. Words are typed:
-numbers, names (words of one item only) and unit words are slots, the rest is the template. Windows of a text are joined
+numbers, names (words that one item has again and again and no other has) and unit words are slots, the rest is the template. Windows of a text are joined
 by hash with the items' template windows, and the slots' values have to be consistent within the window, so a stock
 sentence with another item's names doesn't count as that item. Each joined diagonal (the offset between text and item) is
 then compared word by word over its whole length: an item has leaked if at least MIN_WORDS words in a row are there, at
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawlnet.session import spread
+
 MIN_WORDS = 15
 ALTERED = 8
 WINDOW = 5
@@ -59,11 +61,12 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         texts = [(i, words(t)) for i, t in rows]
         held = Counter(w for _, ws in texts for w in set(ws))
+        often = Counter(w for _, ws in texts for w in ws)
         self.vocabulary = {w: n for n, w in enumerate(sorted(held), start=4)}
         kinds = np.zeros(len(held) + 4, np.int64)
         kinds[:4] = (_NAME, _NUMBER, _NAME, _UNIT)
         for w, n in self.vocabulary.items():
-            kinds[n] = _NUMBER if w.isdigit() else _UNIT if w in UNITS else _NAME if held[w] == 1 and len(texts) > 1 else n
+            kinds[n] = _NUMBER if w.isdigit() else _UNIT if w in UNITS else _NAME if held[w] == 1 and often[w] > 1 else n
         self.kinds = kinds
         self.ids = np.array([i for i, _ in texts], np.int64)
         self.words = np.array([x for _, ws in texts for x in [*(self.vocabulary[w] for w in ws), _BREAK]], np.int64)
@@ -192,7 +195,7 @@ def _search(documents: DataFrame, benchmark: DataFrame, find, id_col: str, text_
                         {"doc_id": pa.array([ids[d] for d, _ in found], pa.int64()), "item_id": pa.array(items.ids[[i for _, i in found]], pa.int64())}
                     )
 
-        part = docs.where("text is not null and doc_id is not null").mapInArrow(run, "doc_id bigint, item_id bigint")
+        part = spread(docs.where("text is not null and doc_id is not null")).mapInArrow(run, "doc_id bigint, item_id bigint")
         out = part if out is None else out.unionByName(part)
     return out
 

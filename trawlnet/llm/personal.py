@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawlnet.session import spread
+
 #: The most frequent two-word towns that are kept; bounds what is collected and sent to the workers.
 TOWNS = 20_000
 
@@ -320,7 +322,7 @@ def found(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 {"doc_id": pa.array(cols[0], pa.int64()), "start_char": pa.array(cols[1], pa.int64()), "end_char": pa.array(cols[2], pa.int64()), "kind": pa.array(cols[3], pa.string())}
             )
 
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, "doc_id bigint, start_char bigint, end_char bigint, kind string")
 
 
@@ -332,5 +334,5 @@ def redacted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array([redact(t, towns) for t in b.column(1).to_pylist()], pa.string())})
 
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, "doc_id bigint, text string")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.session import fresh_path, local_path
+from trawlnet.session import fresh_path, local_path, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte_bpe_50k vocabulary cuts text into words.
@@ -276,7 +276,7 @@ def store_lexicon(spark, words: list[bytes], vocabulary: str = VOCABULARY) -> st
 
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, most: int = LEXICON_WORDS) -> DataFrame:
     """(id, ids): the token ids of each row's text."""
-    rows = documents.select(id_col, F.col(text_col).alias("text"))
+    rows = spread(documents.select(id_col, F.col(text_col).alias("text")))
     source = store_lexicon(rows.sparkSession, frequent_words(rows, most), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
