@@ -74,6 +74,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """`rows` over all cores before work in Python, where they come from fewer files than there are cores; no shuffle else."""
+    """`rows` over all cores before work in Python, where they come from fewer files than there are cores; no shuffle else.
+
+    For plans without an exchange, as asking an adaptive plan with one for its partitions would run it.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
