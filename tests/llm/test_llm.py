@@ -96,6 +96,14 @@ def test_main_content(spark):
     assert sorted(got[0]) == [7, 8, 9, 10] and sorted(got[10]) == [5, 6, 7, 8]
 
 
+@pytest.mark.parametrize(
+    "true",
+    ["The ferry crosses the Øresund (607 km).", "The budget of €40 allows it.", "Der Fährmann zählt " + "die Körbe und " * 20 + "geht.", "Паромщик считает " + "корзины и " * 30 + "уходит."],
+)
+def test_mended_numbers_and_long_lines(true):
+    assert boilerplate.mended(true.encode().decode("latin-1"), {boilerplate._hash(true)}, set()) == true
+
+
 # --- 7: tokens ---------------------------------------------------------------------------------------------------------
 
 

@@ -35,6 +35,7 @@ WINDOW, SURGE = 3, 60
 #: The most frequent line texts kept; bounds what is collected and sent to the workers.
 LEXICON = 200_000
 LONGEST = 400  # characters of a line text that can be in the lexicon
+_MEMO = 1 << 16
 
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>")
 _ROLE = re.compile(r"role\s*=\s*[\"']?(dialog|alertdialog|navigation|banner|contentinfo|complementary|search|main|article)|\b(?:id|class)\s*=\s*[\"']?[^\"'>]*?\b(promo|advert|advertisement|teaser|related|newsletter|share|cookie|consent|breadcrumb)", re.I)
@@ -135,9 +136,6 @@ _IDEOGRAPHS = [("gbk", "utf-8"), ("cp932", "utf-8")]
 _RUN = re.compile(r"[^\x00-\x7f]{2}")
 _WIDE = re.compile(r"[\u3000-\uffef]")
 _RIGHTS = re.compile(r"© ?\d{4}")
-#: Lines of the site are no longer than this, and hold no numbers but years and counts in brackets at the end.
-_MENDED = 240
-_NUMBERED = re.compile(r"\b(?!(?:19|20)\d\d\b)\d+\b(?!\)$)")
 
 
 def _known(text: str, around: set | frozenset, content: set | frozenset) -> bool:
@@ -145,9 +143,22 @@ def _known(text: str, around: set | frozenset, content: set | frozenset) -> bool
     return _hash(_COUNT.sub("", text)) in around or bool(lead) and _hash(lead) in around or bool(_RIGHTS.match(text)) or _hash(text) in content
 
 
-def mended(text: str, around: set | frozenset, content: set | frozenset) -> str:
-    """A line as it was written, if it was read in a wrong charset and is then one that's known from other pages."""
-    if text.isascii() or len(text) > _MENDED or _NUMBERED.search(text) or _known(text, around, content):
+def mended(text: str, around: set | frozenset, content: set | frozenset, memo: dict[str, str] | None = None) -> str:
+    """A line as it was written, if it was read in a wrong charset and is then one that's known from other pages; `memo`
+    keeps what was found for repeated lines under one lexicon."""
+    if text.isascii():
+        return text
+    if memo is None or len(text) > LONGEST:
+        return _mended(text, around, content)
+    if (found := memo.get(text)) is None:
+        if len(memo) >= _MEMO:
+            memo.clear()
+        found = memo[text] = _mended(text, around, content)
+    return found
+
+
+def _mended(text: str, around: set | frozenset, content: set | frozenset) -> str:
+    if _known(text, around, content):
         return text
     raws: dict[str, bytes | None] = {}
     for read, written in _IDEOGRAPHS if _WIDE.search(text) else _SINGLE + _RUNS if _RUN.search(text) else _SINGLE:
@@ -163,7 +174,7 @@ def mended(text: str, around: set | frozenset, content: set | frozenset) -> str:
     return text
 
 
-def classify(lines: list[Line], around: np.ndarray | set, content: np.ndarray | set) -> None:
+def classify(lines: list[Line], around: np.ndarray | set, content: np.ndarray | set, memo: dict[str, str] | None = None) -> None:
     """Sets each line's kind."""
     for n in lines:
         t = n.text
@@ -171,7 +182,7 @@ def classify(lines: list[Line], around: np.ndarray | set, content: np.ndarray |
             n.kind = X
             continue
         if n.role >= 0 and around:
-            t = mended(t, around, content)
+            t = mended(t, around, content, memo)
         h = _hash(_COUNT.sub("", t))
         lead = _lead(t)
         lead = _hash(lead) if lead else None
@@ -198,10 +209,10 @@ def classify(lines: list[Line], around: np.ndarray | set, content: np.ndarray |
                 n.kind = T
 
 
-def content_lines(body: str, mime: str, around: set | frozenset = frozenset(), content: set | frozenset = frozenset()) -> list[int]:
+def content_lines(body: str, mime: str, around: set | frozenset = frozenset(), content: set | frozenset = frozenset(), memo: dict[str, str] | None = None) -> list[int]:
     """Numbers, from 1, of the lines that carry main content."""
     lines, title = read_lines(body, mime != "text/plain")
-    classify(lines, around, content)
+    classify(lines, around, content, memo)
     topic = re.split(r"\s[|–—-]\s", title)[0].strip().lower()
     inside = [n.role > 0 for n in lines]
     if any(inside):  # the page says where its content is
@@ -275,10 +286,11 @@ def main_content(responses: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around, content = lexicon
+        memo: dict[str, str] = {}
         for b in batches:
             ids, numbers = [], []
             for i, mime, raw in zip(*(c.to_pylist() for c in b.columns)):
-                found = content_lines(_decoded(raw), mime, around, content)
+                found = content_lines(_decoded(raw), mime, around, content, memo)
                 ids += [i] * len(found)
                 numbers += found
             yield pa.RecordBatch.from_pydict({"response_id": pa.array(ids, pa.int64()), "line_no": pa.array(numbers, pa.int64())})
