@@ -104,6 +104,17 @@ def test_mended_numbers_and_long_lines(true):
     assert boilerplate.mended(true.encode().decode("latin-1"), {boilerplate._hash(true)}, set()) == true
 
 
+@pytest.mark.parametrize(
+    ("true", "written", "read"),
+    [
+        ("Alle Preise verstehen sich einschließlich Mehrwertsteuer.", "cp1252", "mac_roman"), ("© 2022 The ferry company", "cp1251", "koi8-r"),
+        ("Der Preis, einschließlich Fährgeld", "utf-8", "mac_roman"), ("© 2022 The ferry company", "koi8-r", "cp1251"),
+    ],
+)
+def test_mended_in_any_charset(true, written, read):
+    assert boilerplate.mended(true.encode(written).decode(read), {boilerplate._hash(true)}, set()) == true
+
+
 # --- 7: tokens ---------------------------------------------------------------------------------------------------------
 
 

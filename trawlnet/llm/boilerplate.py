@@ -19,6 +19,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,17 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _bare(text: str) -> str:
+    """The text without a count in brackets at its end."""
+    return _COUNT.sub("", text) if text.endswith((")", "\n")) else text
+
+
+@lru_cache(1 << 14)
+def _role(attributes: str) -> int:
+    hit = _ROLE.search(attributes)
+    return 0 if not hit else 1 if (hit[1] or "").lower() in ("main", "article") else -1
+
+
 class Line:
     __slots__ = ("text", "linked", "role", "heading", "kind")
 
@@ -85,7 +97,7 @@ def read_lines(body: str, marked: bool) -> tuple[list[Line], str]:
                     piece = raw[at : m.start()]
                     parts.append(piece)
                     line.linked += len(piece.strip()) if link else 0
-                    role = role or next((r for _, r in reversed(stack) if r), 0)
+                    role = role or (stack[-1][1] if stack else 0)
                 elif m.start() > at and stack and stack[-1][0] == "title":
                     title = raw[at : m.start()]
                 at = m.end()
@@ -94,9 +106,9 @@ def read_lines(body: str, marked: bool) -> tuple[list[Line], str]:
                     continue
                 if not m[1]:
                     r = -1 if name in _AROUND else 1 if name in _CONTENT else 0
-                    if m[3] and (hit := _ROLE.search(m[3])):
-                        r = 1 if (hit[1] or "").lower() in ("main", "article") else -1
-                    stack.append((name, r))
+                    if m[3]:
+                        r = _role(m[3]) or r
+                    stack.append((name, r or (stack[-1][1] if stack else 0)))  # the nearest role around it, if it has none
                     silent += name in _SILENT
                     link += name == "a"
                     line.heading |= len(name) == 2 and name[0] == "h" and name[1].isdigit()
@@ -112,7 +124,7 @@ def read_lines(body: str, marked: bool) -> tuple[list[Line], str]:
             rest = raw[at:]
             parts.append(rest)
             line.linked += len(rest.strip()) if link else 0
-            role = role or next((r for _, r in reversed(stack) if r), 0)
+            role = role or (stack[-1][1] if stack else 0)
         line.text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         line.role = role if line.text else 0
     return out, html.unescape(title)
@@ -126,21 +138,18 @@ def _lead(text: str) -> str | None:
     return f"{lead}\u0001:" if colon and rest and 0 < len(lead) < 40 else None
 
 
-# Swaps of charsets that damaged lines are tried under (read as, written in): those that leave letters
-# single, those that make runs of odd letters, and those that make ideographs.
-_SINGLE = [("latin-1", "cp1250"), ("cp1252", "cp1250"), ("cp850", "cp1252"), ("mac_roman", "cp1252")]
-_RUNS = [(r, "utf-8") for r in ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp850")] + [
-    ("latin-1", "cp1251"), ("latin-1", "cp1253"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("latin-1", "cp932"), ("cp1252", "cp932"), ("latin-1", "euc_jp"),
-]
-_IDEOGRAPHS = [("gbk", "utf-8"), ("cp932", "utf-8")]
-_RUN = re.compile(r"[^\x00-\x7f]{2}")
-_WIDE = re.compile(r"[\u3000-\uffef]")
+#: Swaps of charsets that damaged lines are tried under (read as: written in); a line that doesn't encode in
+#: a charset wasn't read in it.
+_SWAPS = {
+    "latin-1": ("cp1250", "utf-8", "cp1251", "cp1253", "cp932", "euc_jp"), "cp1252": ("cp1250", "utf-8", "cp932"), "cp850": ("cp1252", "utf-8"), "mac_roman": ("cp1252", "utf-8"),
+    "cp1250": ("utf-8",), "cp1251": ("utf-8", "koi8-r"), "koi8-r": ("cp1251",), "gbk": ("utf-8",), "cp932": ("utf-8",),
+}
 _RIGHTS = re.compile(r"© ?\d{4}")
 
 
 def _known(text: str, around: set | frozenset, content: set | frozenset) -> bool:
-    lead = _lead(text)
-    return _hash(_COUNT.sub("", text)) in around or bool(lead) and _hash(lead) in around or bool(_RIGHTS.match(text)) or _hash(text) in content
+    h, lead = _hash(bare := _bare(text)), _lead(text)
+    return h in around or lead is not None and _hash(lead) in around or bool(_RIGHTS.match(text)) or (h if bare == text else _hash(text)) in content
 
 
 def mended(text: str, around: set | frozenset, content: set | frozenset, memo: dict[str, str] | None = None) -> str:
@@ -160,17 +169,18 @@ def mended(text: str, around: set | frozenset, content: set | frozenset, memo: d
 def _mended(text: str, around: set | frozenset, content: set | frozenset) -> str:
     if _known(text, around, content):
         return text
-    raws: dict[str, bytes | None] = {}
-    for read, written in _IDEOGRAPHS if _WIDE.search(text) else _SINGLE + _RUNS if _RUN.search(text) else _SINGLE:
-        if read not in raws:
-            raws[read] = _encoded(text, read)
-        if raws[read] is not None:
+    tried = {text}
+    for read, charsets in _SWAPS.items():
+        if (raw := _encoded(text, read)) is None:
+            continue
+        for written in charsets:
             try:
-                true = raws[read].decode(written)
+                true = raw.decode(written)
             except UnicodeDecodeError:
                 continue
-            if _known(true, around, content) or " › " in true and len(true) < 120:
+            if true not in tried and (_known(true, around, content) or " › " in true and len(true) < 120):
                 return true
+            tried.add(true)
     return text
 
 
@@ -183,7 +193,7 @@ def classify(lines: list[Line], around: np.ndarray | set, content: np.ndarray |
             continue
         if n.role >= 0 and around:
             t = mended(t, around, content, memo)
-        h = _hash(_COUNT.sub("", t))
+        h = _hash(_bare(t))
         lead = _lead(t)
         lead = _hash(lead) if lead else None
         if n.role < 0 or h in around or (lead is not None and lead in around and h not in content):
@@ -266,7 +276,7 @@ def learn_lexicon(responses: DataFrame, most: int = LEXICON) -> tuple[frozenset[
                     continue
                 for n in lines:
                     if n.role and len(n.text) <= LONGEST:
-                        seen[_hash(_COUNT.sub("", n.text))][n.role > 0] += 1
+                        seen[_hash(_bare(n.text))][n.role > 0] += 1
                         if lead := _lead(n.text):
                             seen[_hash(lead)][n.role > 0] += 1
             keys = list(seen)

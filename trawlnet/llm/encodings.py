@@ -16,6 +16,7 @@ Defined results: null and empty bodies aren't damaged; bytes that aren't UTF-8 c
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections import Counter
@@ -42,27 +43,32 @@ SEEN = 3
 
 _TOKEN = re.compile(r"[^\x00-\x20<>\"=/]+")
 _DIGIT = re.compile(r"[0-9]+")
+_CONTROL = re.compile("[\x80-\x9f]")
 _SURE = re.compile("[�\x80-\x9f]")
 _MEMO = 1 << 16
 #: A loss at which a reading of a word isn't followed further.
 WORST = -30.0
 
 
+def _as_control(e: UnicodeError) -> tuple[bytes, int]:
+    """Bytes without a character are read as control characters."""
+    bad = e.object[e.start : e.end]
+    if not all("\x80" <= c < "\xa0" for c in bad):
+        raise e
+    return bad.encode("latin-1"), e.end
+
+
 def _encoded(text: str, charset: str) -> bytes | None:
     try:
         return text.encode(charset)
     except UnicodeEncodeError:
-        if not charset.startswith("cp125"):
+        if not charset.startswith("cp125") or not _CONTROL.search(text):
             return None
-    out = bytearray()  # bytes without a character are read as control characters
-    for c in text:
-        try:
-            out += c.encode(charset)
-        except UnicodeEncodeError:
-            if not 0x80 <= ord(c) < 0xA0:
-                return None
-            out.append(ord(c))
-    return bytes(out)
+    codecs.register_error("trawlnet-control", _as_control)  # in each worker; a dictionary entry
+    try:
+        return text.encode(charset, "trawlnet-control")
+    except UnicodeEncodeError:
+        return None
 
 
 @lru_cache(1 << 14)
