@@ -40,6 +40,17 @@ def test_crawl(spark):
     assert limited.stopped == "limit" and limited.queue.where("order_no is null").count() == 2
 
 
+def test_crawl_pages_to_the_end(spark, tmp_path):
+    html = "text/html"
+    pages = [("https://e.com/start", 200, html, _page(["/gone", "/busy"])), ("https://e.com/busy", 503, html, _page()), ("https://e.com/slow", 429, html, _page())]
+    _responses(spark, pages).write.parquet(str(tmp_path / "responses.parquet"))
+    got = {(r.crawl_depth, r.outcome, r.error_kind): r.n for r in queries.crawl_pages(spark, str(tmp_path), batch=3).collect()}
+    assert got == {
+        (0, "ok", None): 1, (0, "retry", "other"): 3, (0, "failed", "other"): 1, (0, "retry", "session"): 3, (0, "failed", "session"): 1,
+        (1, "retry", "other"): 3, (1, "failed", "other"): 1,
+    }
+
+
 def test_redirects():
     h = {"Cookie": "x", "Accept": "y"}
     assert next_hop(303, "POST", "/n", "https://e.com/a", h) == ("https://e.com/n", "GET", h)

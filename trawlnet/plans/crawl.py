@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ class CrawlOptions:
     selector: str = "a"
     batch: int = 10_000
     max_requests: int | None = None
-    max_steps: int = 100
+    #: None: no limit, until the queue is empty.
+    max_steps: int | None = 100
     default_retries: int = A.MAX_RETRIES
     page_types: tuple[str, ...] = A.PAGE_TYPES
     ignore_statuses: tuple[int, ...] = ()
@@ -98,7 +100,7 @@ def step(queue: DataFrame, batch: DataFrame, fetch: Fetcher, options: CrawlOptio
         after = after.withColumn(c, F.coalesce(f"_{c}", c))
     after = written(after.select(*queue.columns), "queue")
     after = written(Q.add_batch(after, fresh)[0], "queue")
-    log = state.select(F.col("id").alias("request_id"), (F.col("retry_count") + F.when(F.col("outcome") == "retry", 0).otherwise(1)).alias("attempt"), "outcome", "error_kind", "error_message", "status", "duration_ms", "retry_count")
+    log = state.select(F.col("id").alias("request_id"), "crawl_depth", (F.col("retry_count") + F.when(F.col("outcome") == "retry", 0).otherwise(1)).alias("attempt"), "outcome", "error_kind", "error_message", "status", "duration_ms", "retry_count")
     return after, log, items
 
 
@@ -107,7 +109,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, fetch: Fetcher, options: CrawlO
     o = options or CrawlOptions()
     queue = written(seed_queue(spark, seeds), "queue")
     logs, items, finished = None, None, 0
-    for n in range(o.max_steps):
+    for n in count() if o.max_steps is None else range(o.max_steps):
         room = o.batch if o.max_requests is None else min(o.batch, o.max_requests - finished)
         if room <= 0:
             return CrawlResult(queue, logs, items, n, "limit")

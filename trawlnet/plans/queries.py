@@ -190,12 +190,13 @@ def frontier_orders(spark: SparkSession, d: str) -> DataFrame:
     return Q.with_row_numbers(table(spark, d, "requests").select("row_id"), "row_id", "n").select("row_id", F.col("n").cast("bigint").alias("n"))
 
 
-def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
-    """A crawl of captured pages from all of them as seeds: how the requests ended, by depth."""
+def crawl_pages(spark: SparkSession, d: str, batch: int = 1_000_000) -> DataFrame:
+    """A crawl of captured pages from all of them as seeds, to its end: how the attempts ended, by depth. `batch` is the
+    size of a step only. A captured 429 stays one, so it's retried as a blocked page, not as often as it comes."""
     responses = table(spark, d, "responses").where("response_id is not null")
     seeds = responses.groupBy("url").agg(F.min("response_id").alias("pos")).withColumn("crawl_depth", F.lit(0))
-    out = crawl(spark, seeds, PagesFetcher(responses), CrawlOptions(batch=1_000_000, max_steps=1))
-    return out.attempts.groupBy("outcome", "error_kind").agg(F.count("*").alias("n"))
+    out = crawl(spark, seeds, PagesFetcher(responses), CrawlOptions(batch=batch, max_steps=None, ignore_statuses=(429,)))
+    return out.attempts.groupBy("crawl_depth", "outcome", "error_kind").agg(F.count("*").alias("n"))
 
 
 # --- attempts, statistics, load ----------------------------------------------------------------------------------------
