@@ -7,8 +7,8 @@ line the swap of code pages under which it's most likely, the M-step counts the
 the corpus most lines are sound, so the counts of damaged letters fade and those of the true letters stand out. Restoring
 a line is a translate() for swaps of one-byte code pages and a recoding for those that spread a letter over several.
 
-The ciphers' tables start from the code pages, as a page has too few letters to learn a table from nothing; the lines of
-all sources share them. A line under no swap is kept. Records with replacement or C1 control characters are damaged in any
+The ciphers are the swaps of a fixed list of charsets, the same for all sources; no table is learned or re-estimated.
+A line under no swap is kept. Records with replacement or C1 control characters are damaged in any
 case, as no text is written with those.
 
 Defined results: null and empty bodies aren't damaged; bytes that aren't UTF-8 count as damage; pure ASCII never is.
