@@ -115,6 +115,14 @@ def test_mended_in_any_charset(true, written, read):
     assert boilerplate.mended(true.encode(written).decode(read), {boilerplate._hash(true)}, set()) == true
 
 
+@pytest.mark.parametrize(("begin", "end"), [("<ARTICLE>", "</ARTICLE>"), ("<Main>", "</Main>"), ("<div Role = 'main'>", "</div>"), ('<div role="article">', "</div>")])
+def test_lexicon_of_any_marks(spark, begin, end):
+    body = "\n".join([begin, "<p>The editor sorts the maps.</p>", end, "<FOOTER>", "Opening hours of the ferry", "</FOOTER>"])
+    df = spark.createDataFrame([(i, 200, "text/html", bytearray(body.encode())) for i in range(3)], "response_id bigint, status int, mime string, body binary")
+    around, content = boilerplate.learn_lexicon(df)
+    assert boilerplate._hash("Opening hours of the ferry") in around and boilerplate._hash("The editor sorts the maps.") in content
+
+
 # --- 7: tokens ---------------------------------------------------------------------------------------------------------
 
 

@@ -40,6 +40,8 @@ _MEMO = 1 << 16
 
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>")
 _ROLE = re.compile(r"role\s*=\s*[\"']?(dialog|alertdialog|navigation|banner|contentinfo|complementary|search|main|article)|\b(?:id|class)\s*=\s*[\"']?[^\"'>]*?\b(promo|advert|advertisement|teaser|related|newsletter|share|cookie|consent|breadcrumb)", re.I)
+#: What pages that mark their content up hold, as read_lines() takes it; it reads no other pages for the lexicon.
+_MARKS = re.compile(r"<(?:article|main)|role\s*=\s*[\"']?(?:main|article)", re.I)
 #: Elements around content, of content, and without text.
 _AROUND = frozenset("nav aside footer header form dialog menu".split())
 _CONTENT = frozenset("article main".split())
@@ -271,7 +273,10 @@ def learn_lexicon(responses: DataFrame, most: int = LEXICON) -> tuple[frozenset[
         for b in batches:
             seen: dict[int, list[int]] = defaultdict(lambda: [0, 0])
             for raw in b.column(2).to_pylist():
-                lines, _ = read_lines(_decoded(raw), True)
+                text = _decoded(raw)
+                if not _MARKS.search(text):
+                    continue
+                lines, _ = read_lines(text, True)
                 if not any(n.role > 0 for n in lines):
                     continue
                 for n in lines:
@@ -284,7 +289,7 @@ def learn_lexicon(responses: DataFrame, most: int = LEXICON) -> tuple[frozenset[
                 {"h": pa.array(keys, pa.int64()), "around": pa.array([seen[k][0] for k in keys], pa.int64()), "content": pa.array([seen[k][1] for k in keys], pa.int64())}
             )
 
-    marked = pages(responses).where("mime <> 'text/plain'").where(r"contains(body, to_binary('<article', 'utf-8')) or contains(body, to_binary('<main', 'utf-8'))")
+    marked = pages(responses).where("mime <> 'text/plain'")
     sums = marked.mapInArrow(run, "h bigint, around bigint, content bigint").groupBy("h").agg(F.sum("around").alias("around"), F.sum("content").alias("content"))
     rows = sums.where("around + content > 1").orderBy(F.desc(F.col("around") + F.col("content")), "h").limit(most).collect()
     return frozenset(r.h for r in rows if r.around > 2 * r.content), frozenset(r.h for r in rows if r.content >= 2 * r.around)
