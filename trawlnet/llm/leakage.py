@@ -2,8 +2,8 @@
 
 Texts become words: markup, invisible characters, letter case, punctuation and width variants are gone. Words are typed:
 numbers, names (words that one item has again and again and no other has) and unit words are slots, the rest is the template. Windows of a text are joined
-by hash with the items' template windows, and the slots' values have to be consistent within the window, so a stock
-sentence with another item's names doesn't count as that item. Each joined diagonal (the offset between text and item) is
+by hash with the items' windows, the slots' values included: for leaks that makes them exact windows of WINDOW words, so a
+stock sentence with another item's names doesn't count as that item. Each joined diagonal (the offset between text and item) is
 then compared word by word over its whole length: an item has leaked if at least MIN_WORDS words in a row are there, at
 most one in ALTERED of them altered. WINDOW is small enough that no such passage can be without a whole window.
 
