@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,9 +176,59 @@ def test_leaks(spark):
     assert leakage.leaks(docs, bench.limit(0)).count() == 0 and leakage.leaks(docs.limit(0), bench).count() == 0
 
 
-def test_leak_windows_against_brute_force():
-    import numpy as np
+def test_leaks_through_markup_and_references(spark):
+    part = ITEM.split()[3:20]
+    long_tag = f'<span data-x="{"y " * 400}">'
+    letters = " ".join("".join(f"&#{ord(c)};" if c in "aeiou" else c for c in w) for w in part)
+    docs = spark.createDataFrame([(1, " ".join([*part[:8], long_tag, *part[8:]])), (2, letters), (3, "&nbsp;".join(part)), (4, "a < b " + " ".join(part))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id bigint, text string")
+    assert sorted(map(tuple, leakage.leaks(docs, bench).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+def _both(texts, items, names=True):
+    block = leakage.Items(items)
+    if not names:
+        block.kinds = np.arange(len(block.kinds))
+    t = leakage.Texts(block, [leakage.words(x) for x in texts])
+    return leakage._leaks(block, t), leakage._consistent(block, t)
+
+
+def test_slots_decide():
+    """Two slots of sixteen words filled otherwise: few enough to be altered words, but another's passage."""
+    items = [(1, "It is so. Nobody in Zelvor noticed that 63 of the moonlit pages delayed the archive of the old harbour"), (2, "Why did Pelral go? The clerk of Pelral kept it")]
+    other = "nobody in pelral noticed that 69 of the moonlit pages delayed the archive of the old"
+    texts = [other, other.replace("pelral", "zelvor"), other.replace("pelral", "zelvr").replace("69", "63"), f"{other.replace('pelral', 'unheard')}, said unheard"]
+    leaks, again = _both(texts, items)
+    assert leaks == {(1, 0), (2, 0)} and again == {(0, 0), (3, 0)}
+    assert _both(texts, items, names=False)[0] == {(0, 0), (1, 0), (2, 0), (3, 0)}
+
+
+def test_reparameterised_numbers_units_and_inconsistent_names():
+    items = [(1, "Start here. The clerk of Melvor sold 525 crates within 3 days because the baker of Melvor wanted 755 crates within two weeks")]
+    text = "the clerk of {} sold {} crates within {} {} because the baker of {} wanted {} crates within {} {}"
+    cases = [
+        (("melvor", "17", "9", "hours", "melvor", "18", "four", "weeks"), False, True),  # only numbers and units changed
+        (("melvor", "525", "3", "hours", "melvor", "755", "two", "months"), True, False),  # one word in eight altered
+        (("zan", "525", "3", "days", "zan", "755", "two", "weeks"), False, True),
+        (("zan", "1", "3", "days", "quor", "755", "two", "weeks"), True, False),  # said once, a fill is an altered word
+    ]
+    for fills, leaked, again in cases:
+        assert tuple(map(bool, _both([text.format(*fills)], items))) == (leaked, again), fills
+    kinds = np.array([5, 6, 7, 8, 9, leakage._NAME, leakage._NAME, leakage._NUMBER])
+    there = "a b c d e melvor melvor 4".split()
+    for here, want in (("zan zan 4", True), ("zan quor 4", False), ("zan melvor 5", False), ("melvor melvor 5", True), ("melvor melvr 5", False), ("melvor melvor 4", False)):
+        assert leakage._other_fills(there, "a b c d e".split() + here.split(), kinds, kinds) is want, here
+
+
+def test_leaks_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(leakage, "CHUNK", 50)
+    docs = spark.createDataFrame([(i, ITEM if i % 2 else OTHER) for i in range(12)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, "x y z")], "item_id bigint, text string")
+    assert sorted(map(tuple, leakage.leaks(docs, bench).collect())) == [(i, 1 if i % 2 else 2) for i in range(12)]
+
 
+def test_leak_windows_against_brute_force():
     r = np.random.default_rng(3)
     for _ in range(300):
         same = r.random(r.integers(0, 60)) < 0.88
