@@ -141,6 +141,17 @@ def test_tokens_equal_the_libraries(spark):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+def test_runs_border_where_the_pattern_cuts():
+    import regex
+
+    cut = regex.compile(tokens.PATTERN).findall
+    r = random.Random(5)
+    for k in range(3000):
+        t = "".join(r.choice("ab1.'s é\n\t \0\x1c\x85\u2003\u200b ,") for _ in range(r.randrange(1, 14)))
+        assert [w for run in tokens.runs(t) for w in cut(run)] == cut(t), repr(t)
+        assert "".join(tokens.runs(t)) == t
+
+
 def test_lexicon_is_minimal_and_exact():
     words = [b"tap", b"taps", b"top", b"tops", b"", b"\xff\x00"]
     lex = tokens.Lexicon(tokens.compile_lexicon((w, [i, i + 1]) for i, w in enumerate(words)))

@@ -2,9 +2,12 @@
 
 The frequent words of the corpus (counted over all texts) are compiled once, with the ids they encode to, into a minimal
 acyclic transducer: states with equal futures are shared, and each edge carries how many words sort before it, so that
-walking a word yields its number and with that its ids. The transducer lies in one file in the shared folder, which every
-Python worker maps into memory; words it doesn't hold are merged exactly by the vocabulary's ranks. What is encoded doesn't
-depend on the lexicon, only the speed does.
+walking a word yields its number and with that its ids. The transducer is one file in the shared folder, which Spark gives
+to every executor and every Python worker maps into memory; words it doesn't hold are merged exactly by the vocabulary's
+ranks. What is encoded doesn't depend on the lexicon, only the speed does.
+
+Texts are cut in two steps: first into runs of white space with what follows them, at which the vocabulary's pattern always
+cuts, then each different run by that pattern. A worker remembers the ids of the runs it has met.
 
 Defined results: null, empty and missing texts have the ids []. Special tokens' strings are ordinary text. Lone
 surrogates can't occur in Spark strings. Texts of any length are encoded whole.
@@ -15,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import mmap
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -22,18 +26,24 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlnet.session import fresh_path, local_path, spread
+from trawlnet.session import fresh_path, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte_bpe_50k vocabulary cuts text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Words in the lexicon; bounds what is collected to the driver and what is mapped by a worker.
 LEXICON_WORDS = 1 << 15
-#: Words a worker remembers before it forgets them all.
-MEMO_WORDS = 1 << 18
+#: Runs of characters a worker remembers before it forgets them all, and the longest of them.
+MEMO_RUNS, LONGEST_RUN = 1 << 18, 64
+#: Fixed value: the characters that Unicode calls white space, as the pattern's \s has them.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BESIDE_ASCII = ("\0", *(f"{c} " for c in "\t\n\v\f\r "))
+_BESIDE = re.compile(f"[{_SPACE}] |\0")
+_RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 _MAGIC = 0x54524C58
 
@@ -197,45 +207,59 @@ class Lexicon:
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if self.finals[s] else None
 
 
+def runs(text: str) -> list[str]:
+    """The text in pieces that begin with all white space before them: no word of the pattern goes on over their borders."""
+    if any(x in text for x in _BESIDE_ASCII) or not text.isascii() and _BESIDE.search(text):
+        return _RUN.findall(text)
+    return text.replace(" ", "\0 ").split("\0")
+
+
 class Encoder:
-    """Texts to ids: remembered words, then the lexicon, then merges."""
+    """Texts to ids: remembered runs, then the lexicon's words, then merges. Ids are given as bytes of 32-bit numbers."""
 
     def __init__(self, lexicon: Lexicon | None, ranks: dict[bytes, int]) -> None:
-        self.lexicon, self.ranks, self.memo = lexicon, ranks, {}
+        self.lexicon, self.ranks, self.memo, self.words = lexicon, ranks, {}, {}
         self.cut = regex.compile(PATTERN).findall
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         ids = self.lexicon.get(raw) if self.lexicon else None
-        if ids is None:
-            ids = merge(raw, self.ranks)
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        if len(word) < 64:
-            self.memo[word] = ids
+        return self.kept(self.words, word, np.array(merge(raw, self.ranks) if ids is None else ids, "<i4").tobytes())
+
+    def run(self, run: str) -> bytes:
+        get = self.words.get
+        return self.kept(self.memo, run, b"".join([get(w) or self.word(w) for w in self.cut(run)]))
+
+    def kept(self, memo: dict[str, bytes], text: str, ids: bytes) -> bytes:
+        if len(text) < LONGEST_RUN:
+            if len(memo) >= MEMO_RUNS:
+                memo.clear()
+            memo[text] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if text:
-            get, extend = self.memo.get, out.extend
-            for w in self.cut(text):
-                extend(get(w) or self.word(w))
-        return out
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        own = runs(text)
+        found = list(map(self.memo.get, own))
+        if None in found:
+            found = [self.run(r) if ids is None else ids for r, ids in zip(own, found)]
+        return b"".join(found)
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(source: str | bytes, vocabulary: str) -> Encoder:
-    """One encoder for each worker, kept between batches and tasks."""
-    key = (source if isinstance(source, str) else hash(source), vocabulary)
+def _encoder(lexicon: str | None, vocabulary: str) -> Encoder:
+    """One encoder for each worker, kept between batches and tasks; both are names of files that Spark has brought."""
+    key = lexicon, vocabulary
     if key not in _encoders:
         _encoders.clear()
-        if isinstance(source, str):
-            with Path(source).open("rb") as f:
-                source = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        _encoders[key] = Encoder(Lexicon(source) if len(source) else None, read_ranks(vocabulary))
+        mapped = None
+        if lexicon is not None:
+            with Path(SparkFiles.get(lexicon)).open("rb") as f:
+                mapped = Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        _encoders[key] = Encoder(mapped, read_ranks(SparkFiles.get(vocabulary)))
     return _encoders[key]
 
 
@@ -246,12 +270,16 @@ def frequent_words(texts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
         cut, seen = regex.compile(PATTERN).findall, Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            total: Counter = Counter()
+            for run, n in seen.items():
+                for w in cut(run):
+                    total[w] += n
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update(cut(t))
+                    seen.update(runs(t))
                 if len(seen) > 1 << 17:
                     yield out()
                     seen = Counter()
@@ -262,32 +290,40 @@ def frequent_words(texts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
     return [r[0].encode() for r in top.select("word").collect()]
 
 
-def store_lexicon(spark, words: list[bytes], vocabulary: str = VOCABULARY) -> str | bytes:
-    """The compiled lexicon's path in the shared folder, or its bytes where workers can't open that folder as files."""
-    ranks = read_ranks(vocabulary)
-    data = compile_lexicon((w, merge(w, ranks)) for w in words) if words else b""
-    at = local_path(fresh_path(spark, "lexicon"))
-    if at is None or not data:
-        return data
-    Path(at).parent.mkdir(parents=True, exist_ok=True)
-    Path(at).write_bytes(data)
-    return at
+def _brought(spark: SparkSession, uri: str) -> str:
+    """The name under which Spark brings a file to the executors."""
+    spark.sparkContext.addFile(uri)
+    return uri.rpartition("/")[2]
+
+
+def store_lexicon(spark: SparkSession, words: list[bytes], ranks: dict[bytes, int]) -> str | None:
+    """Writes the compiled lexicon to the shared folder, on whatever file system that is, and gives its name to workers."""
+    if not words:
+        return None
+    uri = fresh_path(spark, "lexicon")
+    at = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        stream.write(compile_lexicon((w, merge(w, ranks)) for w in words))
+    finally:
+        stream.close()
+    return _brought(spark, uri)
 
 
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, most: int = LEXICON_WORDS) -> DataFrame:
-    """(id, ids): the token ids of each row's text."""
+    """(id, ids): the token ids of each row's text. The driver reads the vocabulary; the executors get it from Spark."""
     rows = spread(documents.select(id_col, F.col(text_col).alias("text")))
-    source = store_lexicon(rows.sparkSession, frequent_words(rows, most), vocabulary)
+    spark = rows.sparkSession
+    lexicon = store_lexicon(spark, frequent_words(rows, most), read_ranks(vocabulary))
+    ranks = _brought(spark, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(source, vocabulary)
+        encoder = _encoder(lexicon, ranks)
         for b in batches:
-            flat: list[int] = []
-            offsets = [0]
-            for t in b.column(1).to_pylist():
-                flat.extend(encoder.encode(t))
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, "int32")))
+            parts = [encoder.encode(t) for t in b.column(1).to_pylist()]
+            offsets = np.cumsum([0, *map(len, parts)]) // 4
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[id_col, "ids"])
 
     kind = rows.schema[id_col].dataType.simpleString()
