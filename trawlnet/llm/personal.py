@@ -3,13 +3,14 @@
 Texts are first deobfuscated by a transducer that keeps, for each character it writes, the span of the source it stands
 for: invisible characters vanish, width variants and dashes become plain, letters of another script that look Latin become
 Latin within Latin words, and runs of spelled digits become digits. Identifiers are found in that text and mapped back to
-the source. Names are found by what stands before or after them: an introducing phrase, or an identifier beside them.
+the source. Names are found by what stands before or after them: an introducing phrase, a title, a verb of speech, or an
+identifier beside them.
 
-Two-word towns are learned from the corpus itself, from addresses whose postcode ends them; addresses that end with the
-town need that to know where it ends. The list is bounded by TOWNS.
+Two-word towns are learned from the corpus itself, from addresses whose postcode ends them. Addresses that end with a town
+need that to know where it ends: both ends are kept for them until they're joined with the learned towns.
 
 Defined results: null and empty texts have no items; spans don't overlap (an identity number goes before an address, email,
-phone and name); repeated texts give the same spans each; nothing is cut from long texts.
+phone and name); repeated texts give the same spans each; nothing is cut from long texts, and no item is too long.
 """
 
 from __future__ import annotations
@@ -24,9 +25,6 @@ from pyspark.sql import functions as F
 
 from trawlnet.session import spread
 
-#: The most frequent two-word towns that are kept; bounds what is collected and sent to the workers.
-TOWNS = 20_000
-
 # Letters that look Latin, invisible characters, dashes and spelled digits.
 _LOOK = dict(zip("аеорсухіјѕԁһАВЕКМНОРСТХУІЈЅοαερυνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhABEKMHOPCTXYIJSoaepuvABEZHIKMNOPTYX"))
 _GONE = frozenset("­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤﻿")
@@ -40,7 +38,8 @@ _SPECIAL = re.compile(f"[{''.join(_GONE)}{''.join(_DASHES)}\u00a0\u2009\u202f\u3
 
 def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     """The deobfuscated text, and for each of its characters begin and end in the source (None: the same places)."""
-    spelled = _SPELLED.search(text)
+    lower = text.lower()
+    spelled = sum(map(lower.count, _DIGITS)) > 6 and _SPELLED.search(text)
     if not spelled and (text.isascii() or not _SPECIAL.search(text) and not _MIXED.search(text)):
         return text, None, None
     chars, begins, ends = [], [], []
@@ -87,13 +86,14 @@ _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sDOT\s)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9.+_%-]*[A-Za-z0-9_])?"
 _LOCALS = rf"{_LOCAL}(?:(?:\s?[\[({{]\s?dot\s?[\])}}]\s?|\sDOT\s){_LOCAL})*"
-_AT = re.compile(r"\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sAT\s|\sat\s(?=\S+(?:\s\S+)?\sdot\s)")
+_AT_WORD = re.compile(r"\s?[\[({]\s?at\s?[\])}]\s?|\sAT\s|\sat\s(?=\S+(?:\s\S+)?\sdot\s)")
+_AT_BRACKET = re.compile(r"[\[({]\s?at")
 _BEFORE_AT = re.compile(rf"(?<![A-Za-z0-9.+_%-]){_LOCALS}$")
 _BEFORE_AT_PLAIN = re.compile(rf"(?<![A-Za-z0-9.+_%-]){_LOCAL}(?:\sdot\s{_LOCAL})*$")
 _AFTER_AT = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,24}}(?![\w@])")
 _AFTER_AT_PLAIN = re.compile(rf"{_LABEL}(?:\sdot\s{_LABEL})*\sdot\s[A-Za-z]{{2,24}}\b")
 #: Endings of file names, which aren't top-level domains.
-_FILES = frozenset("png jpg jpeg gif webp svg ico css js json html htm pdf zip gz xml txt md".split())
+_FILES = frozenset("png jpg jpeg gif webp svg ico css js json html htm pdf gz xml txt".split())
 
 _ID = re.compile(
     r"(?<![\w.+/-])(?:"
@@ -103,7 +103,7 @@ _ID = re.compile(
 )
 _LOOSE_ID = re.compile(r"(?<![\w.+/-])(?:\d{9}|\d{3} \d\d \d{4}|[12]\d{14}|\d{12})(?![\w/]|-\d|\.\d)")
 #: Words that announce an identity number.
-_ID_CUE = re.compile(r"(?:SSN|[Nn]umber|ID:?|[Nn]uméro|documento|[Nn]úmero|nummer|[Čč]íslo|[Nn]umer|номер|[Pp]assport|番号：?|</td>\s*<td>|\()\s*$")
+_ID_CUE = re.compile(r"(?:SSN|[Nn]umber|ID:?|[Nn]uméro|documento|[Nn]úmero|nummer|[Čč]íslo|[Nn]umer|номер|[Pp]assport|番号：?|\()$")
 
 _PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
@@ -136,8 +136,20 @@ _STREETS = (
 _POST_FIRST = re.compile(rf"(?<![\w/])(?:{_STREETS}){_SEP}(?:\d{{5}}|\d{{3}}\s\d\d|\d\d-\d{{3}}|\d{{6}})\s(?P<town>{_CAP})(?P<more>[ ]{_CAP})?")
 
 _CODE_LAST = re.compile(r", (?:[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}|[A-Z]{2}\s\d{5})")
-_CODE_FIRST = re.compile(r"(?<=[\s,])(?:\d{5}|\d{3}\s\d\d|\d\d-\d{3}|\d{6})\s(?=[^\W\d_a-z])")
-_REACH = 120  # characters of an address before its postcode, at most
+_CODE_FIRST = re.compile(r"[0-9](?<=[\s,].)(?:\d{4}|\d\d\s\d\d|\d-\d{3}|\d{5})\s(?=[^\W\d_a-z])")
+#: What identity and phone numbers lie in, but for three characters before and two after.
+_FIGURES = re.compile(r"[0-9][0-9 ()./-]{5,}")
+_AFTER_CODE = re.compile(r"(?:\S*\s){3}")
+#: More words than an address has before its postcode, and a name with its title before an identifier.
+_ADDRESS_WORDS, _NAME_WORDS = 24, 10
+
+
+def _begin(norm: str, end: int, words: int, least: int = 0) -> int:
+    """Where text begins that holds so many words before `end`, or `least`."""
+    reach = 12 * words
+    while end - reach > least and len(norm[end - reach : end].split()) <= words:
+        reach *= 2
+    return max(least, end - reach)
 
 
 def _addresses(norm: str) -> Iterator[re.Match]:
@@ -145,8 +157,9 @@ def _addresses(norm: str) -> Iterator[re.Match]:
     for form, code in ((_POST_LAST, _CODE_LAST), (_POST_FIRST, _CODE_FIRST)):
         done = 0
         for c in code.finditer(norm):
-            at = max(done, c.start() - _REACH)
-            while at < c.start() and (m := form.search(norm, at, min(len(norm), c.end() + _REACH))) and m.start() < c.start():
+            at = _begin(norm, c.start(), _ADDRESS_WORDS, done)
+            end = after.end() if (after := _AFTER_CODE.match(norm, c.end())) else len(norm)
+            while at < c.start() and (m := form.search(norm, at, end)) and m.start() < c.start():
                 if m.end() >= c.end():
                     yield m
                     done = m.end()
@@ -154,6 +167,53 @@ def _addresses(norm: str) -> Iterator[re.Match]:
                 at = m.end()
 
 
+def _in_figures(form: re.Pattern, norm: str, figures: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The form's matches within the places that `_FIGURES` found."""
+    done = 0
+    for lo, hi in figures:
+        for m in form.finditer(norm, max(done, lo - 3), hi + 6):
+            done = m.end()
+            yield m
+
+
+def _signs(norm: str) -> list[tuple[int, int, bool]]:
+    """Where at signs lie with the spaces beside them, plain or spelled out; and whether one is a bare word."""
+    out = []
+    at = norm.find("@")
+    while at >= 0:
+        out.append((at - (at > 0 and norm[at - 1].isspace()), at + 1 + (at + 1 < len(norm) and norm[at + 1].isspace()), False))
+        at = norm.find("@", at + 1)
+    if "AT" in norm or "at" in norm and ("dot" in norm or _AT_BRACKET.search(norm)):
+        out += [(m.start(), m.end(), m.group() == " at ") for m in _AT_WORD.finditer(norm)]
+        out.sort()
+    return out
+
+
+def _before_sign(norm: str, at: int, form: re.Pattern) -> int | None:
+    """Where the local part begins that ends at an at sign."""
+    reach = 64
+    while True:
+        begin = max(0, at - reach)
+        local = form.search(norm[begin:at])
+        if begin == 0 or not local or local.start() > 12:  # longer than a spelled dot, so nothing before belongs to it
+            return begin + local.start() if local else None
+        reach *= 4
+
+
+def _is_announced(norm: str, at: int) -> bool:
+    """Whether words that announce an identity number, or the border of a table's cells, stand before a place."""
+
+    def bare(k: int) -> int:
+        while k and norm[k - 1].isspace():
+            k -= 1
+        return k
+
+    k = bare(at)
+    if norm.endswith("<td>", 0, k):
+        return norm.endswith("</td>", 0, bare(k - 4))
+    return bool(_ID_CUE.search(norm, max(0, k - 16), k))  # no such word is longer
+
+
 #: Titles before names, in ten languages.
 _TITLE = (
     r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Miss|Sir|Frau|Herr|Hr|Fr|Sr|Sra|Srta|Dra|Dña|Don|Doña|Mme|Mlle|M|Ing|Mgr|MUDr|Bc|Pan|Pani|pan|paní|pani|Dipl|г-жа|г-н|κ|κα|Sig)\b\.?(?:\s|-Ing\.\s))"
@@ -175,6 +235,17 @@ _LINE_NAME = re.compile(rf",?[ ]*\n\s*(?:{_TITLE})*(?P<name>{_NAME})")
 _WHEN = re.compile(rf"\bWhen\s(?:{_TITLE})*(?P<name>{_NAME})\srestarted\b")
 _TO = re.compile(rf"\s*to\s(?:{_TITLE})*(?P<name>{_NAME})\s(?=is\b)")
 _AFTER_ID = re.compile(rf"\s?(?:\((?:{_TITLE})*(?P<inner>{_NAME})\)|(?:von|de|of|osoby|da|do|van|για)\s(?:{_TITLE})*(?P<name>{_NAME}))")
+#: Verbs of speech after a name, and words of meeting and signing before one, that any
+#: text may have, with titles; without letters that may be large.
+_SPEECH = "said says wrote writes asked asks replied replies told reported reports confirmed confirms suggested agreed noted explained sagte sagt schrieb écrit dijo escribió disse".split()
+_MET = (
+    "meet|met|poke with|poke to|alk to|alked to|alk with|alked with|contact|hank|hanks to|emailed|I am|y name is|igned by|ritten by|ent by|eviewed by|eported by|ssigned to|Dr|Dr.|Prof.|Mr|Mr.|Mrs|"
+    "Mrs.|Ms|Ms.|Frau|Herr|Sr.|Sra.|Mme|Mlle"
+).split("|")
+_BIG = rf"(?=[^\W\d_a-zß-öø-ÿ]){_L}{{2,}}(?:['’\-]{_L}+)*"
+_BIG_NAME = rf"{_BIG}\s(?:{_I}\s){{0,2}}{_BIG}"
+_NEXT_BIG = re.compile(rf"(?:{_TITLE})*(?P<name>{_BIG_NAME}|{_I}\s{_BIG})")
+_LAST_BIG = re.compile(rf"(?<![\w'’-])(?P<name>{_BIG_NAME})$")
 #: Words that can't be part of a name although they stand where one does.
 _PLAIN = frozenset(
     "the a an our this that these those each every some any its his her their your my we you they it is was in on at of to for and or but by from with "
@@ -193,10 +264,17 @@ def _capital(name: str) -> bool:
 
 def find(text: str, towns: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the items of a text in code points, in order and without overlap."""
+    return [(lo, far if far and town in towns else hi, kind) for lo, hi, kind, far, town in spans(text)]
+
+
+def spans(text: str | None) -> list[tuple[int, int, str, int | None, str | None]]:
+    """(start, end, kind, far end, town): as find() has them. An address that may end with a town of two words has its far
+    end and that town, to be decided by whether it is one."""
     if not text:
         return []
     norm, begins, ends = normalise(text)
     taken: list[tuple[int, int, str]] = []
+    far_ends: dict[int, tuple[int, str]] = {}
     used = bytearray(len(norm))
 
     def take(lo: int, hi: int, kind: str) -> bool:
@@ -206,31 +284,27 @@ def find(text: str, towns: frozenset[str] = frozenset()) -> list[tuple[int, int,
         taken.append((lo, hi, kind))
         return True
 
-    digits = any(c.isdigit() for c in norm)
-    if digits:
-        for m in _ID.finditer(norm):
+    figures = [m.span() for m in _FIGURES.finditer(norm)]
+    for m in _in_figures(_ID, norm, figures):
+        take(m.start(), m.end(), "id_number")
+    for m in _in_figures(_LOOSE_ID, norm, figures):
+        if _is_announced(norm, m.start()):
             take(m.start(), m.end(), "id_number")
-        for m in _LOOSE_ID.finditer(norm):
-            if _ID_CUE.search(norm, max(0, m.start() - 24), m.start()):
-                take(m.start(), m.end(), "id_number")
-        for m in _addresses(norm):
-            end, g = m.end(), m.groupdict()
-            if g.get("more") and g["town"] + g["more"] not in towns:
-                end = m.end("town")
-            take(m.start(), end, "address")
-    if "@" in norm or "at" in norm or "AT" in norm:
-        for m in _AT.finditer(norm):
-            plain = m.group() == " at "
-            host = (_AFTER_AT_PLAIN if plain else _AFTER_AT).match(norm, m.end())
-            if host and host.group().rsplit(".", 1)[-1].lower() not in _FILES:
-                before = max(0, m.start() - 120)
-                if local := (_BEFORE_AT_PLAIN if plain else _BEFORE_AT).search(norm[before : m.start()]):
-                    take(before + local.start(), host.end(), "email")
-    if digits:
-        for m in _PHONE.finditer(norm):
-            n = sum(c.isdigit() for c in m.group())
-            if 8 <= n <= 15:
-                take(m.start(), m.end(), "phone")
+    for m in _addresses(norm):
+        g = m.groupdict()
+        if not g.get("more"):
+            take(m.start(), m.end(), "address")
+        elif take(m.start(), m.end("town"), "address"):
+            far_ends[m.start()] = m.end(), g["town"] + g["more"]
+            used[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
+    for lo, hi, plain in _signs(norm):
+        host = (_AFTER_AT_PLAIN if plain else _AFTER_AT).match(norm, hi)
+        if host and host.group().rsplit(".", 1)[-1].lower() not in _FILES:
+            if (begin := _before_sign(norm, lo, _BEFORE_AT_PLAIN if plain else _BEFORE_AT)) is not None:
+                take(begin, host.end(), "email")
+    for m in _in_figures(_PHONE, norm, figures):
+        if 8 <= sum(map(str.isdigit, m.group())) <= 15:
+            take(m.start(), m.end(), "phone")
 
     for cues, form in ((_CUES, _THEN_NAME), (_CLOSINGS, _LINE_NAME)):
         for cue in cues:
@@ -251,15 +325,32 @@ def find(text: str, towns: frozenset[str] = frozenset()) -> list[tuple[int, int,
                 which = "inner" if m["inner"] else "name"
                 if _is_name(m[which]):
                     take(*m.span(which), "name")
-            window = norm[max(0, lo - 80) : lo]
+            begin = _begin(norm, lo, _NAME_WORDS)
+            window = norm[begin:lo]
             if at := _nearest(window):
-                a, (b, e) = max(0, lo - 80), at
+                b, e = at
                 if _is_name(window[b:e]) and (window[e] != "," or _capital(window[b:e])):
-                    take(a + b, a + e, "name")
+                    take(begin + b, begin + e, "name")
+    for word in _MET:
+        at = norm.find(cue := f"{word} ")
+        while at >= 0:
+            if (m := _NEXT_BIG.match(norm, at + len(cue))) and _is_name(m["name"]):
+                take(*m.span("name"), "name")
+            at = norm.find(cue, at + len(cue))
+    for word in _SPEECH:
+        at = norm.find(cue := f" {word} ")
+        while at >= 0:
+            if (m := _LAST_BIG.search(norm, _begin(norm, at, _NAME_WORDS), at)) and _is_name(m["name"]):
+                take(*m.span("name"), "name")
+            at = norm.find(cue, at + len(cue))
     taken.sort()
     if begins is None:
-        return taken
-    return [(begins[lo], ends[hi - 1], kind) for lo, hi, kind in taken]
+        return [(lo, hi, kind, *far_ends.get(lo, (None, None))) for lo, hi, kind in taken]
+    out = []
+    for lo, hi, kind in taken:
+        far, town = far_ends.get(lo, (None, None))
+        out.append((begins[lo], ends[hi - 1], kind, ends[far - 1] if far else None, town))
+    return out
 
 
 _TITLES = frozenset("dr prof mr mrs ms miss sir frau herr hr fr sr sra srta dra dña don doña mme mlle ing mgr pan pani paní".split())
@@ -290,49 +381,69 @@ def redact(text: str | None, towns: frozenset[str] = frozenset()) -> str | None:
     """The text with typed placeholders in place of its items; null stays null."""
     if not text:
         return text
+    return spliced(text, find(text, towns))
+
+
+def spliced(text: str | None, items: list[tuple[int, int, str]]) -> str | None:
+    """The text with placeholders in place of the items, which are in order."""
+    if not text or not items:
+        return text
     out, at = [], 0
-    for lo, hi, kind in find(text, towns):
+    for lo, hi, kind in items:
         out += [text[at:lo], f"[{kind.upper()}]"]
         at = hi
     return "".join([*out, text[at:]])
 
 
-def learn_towns(documents: DataFrame, text_col: str = "text", most: int = TOWNS) -> frozenset[str]:
-    """Two-word towns of addresses that a postcode ends, over all documents; the `most` most frequent."""
+def learn_towns(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """(town): the two-word towns of addresses that a postcode ends, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [m["town"] for t in b.column(0).to_pylist() for m in _POST_LAST.finditer(normalise(t)[0]) if " " in m["town"]]
-            yield pa.RecordBatch.from_pydict({"town": pa.array(found, pa.string())})
+            found = {m["town"] for t in b.column(0).to_pylist() for m in _POST_LAST.finditer(normalise(t)[0]) if " " in m["town"]}
+            yield pa.RecordBatch.from_pydict({"town": pa.array(list(found), pa.string())})
 
-    texts = documents.select(F.col(text_col).alias("text")).where(r"text rlike '[A-Z]{1,2}[0-9]{1,2} ?[0-9][A-Z]{2}|[A-Z]{2} [0-9]{5}'")
-    top = texts.mapInArrow(run, "town string").groupBy("town").count().orderBy(F.desc("count"), "town").limit(most)
-    return frozenset(r[0] for r in top.select("town").collect())
+    texts = documents.select(F.col(text_col).alias("text")).where(r"text rlike '[A-Z]{1,2}[0-9]{1,2}[A-Z]?\\s[0-9][A-Z]{2}|[A-Z]{2}\\s[0-9]{5}'")
+    return texts.mapInArrow(run, "town string").distinct()
 
 
-def found(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_char, end_char, kind): one row for each item of each document."""
-    towns = learn_towns(documents, text_col)
+_SPANS = "doc_id bigint, text_hash bigint, start_char bigint, end_char bigint, kind string, far_end bigint, town string"
+
+
+def _spans(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The spans of all documents, with the towns decided by a join; beyond broadcast size that's one of small rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *item) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for item in find(t, towns)]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(cols[0], pa.int64()), "start_char": pa.array(cols[1], pa.int64()), "end_char": pa.array(cols[2], pa.int64()), "kind": pa.array(cols[3], pa.string())}
-            )
+            rows = [(i, h, *item) for i, h, t in zip(*(c.to_pylist() for c in b.columns)) for item in spans(t)]
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _SPANS.split(", ")])
 
-    rows = spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, "doc_id bigint, start_char bigint, end_char bigint, kind string")
+    texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = spread(texts.where("text is not null")).mapInArrow(run, _SPANS)
+    # Rows without a town have a key of their own each, so no task gets all of them.
+    key = F.coalesce("town", F.concat_ws("\u0001", F.lit(""), "doc_id", "text_hash", "start_char"))
+    towns = learn_towns(documents, text_col).withColumnRenamed("town", "_town")
+    both = rows.join(towns, key == F.col("_town"), "left")
+    return both.withColumn("end_char", F.when(F.col("_town").isNotNull(), F.col("far_end")).otherwise(F.col("end_char"))).drop("_town", "town", "far_end")
+
+
+def found(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start_char, end_char, kind): one row for each item of each document."""
+    return _spans(documents, id_col, text_col).drop("text_hash")
 
 
 def redacted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): all documents with placeholders for their items."""
-    towns = learn_towns(documents, text_col)
+    """(doc_id, text): all documents with placeholders for their items; texts are joined with their own spans, by id and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array([redact(t, towns) for t in b.column(1).to_pylist()], pa.string())})
-
-    rows = spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, "doc_id bigint, text string")
+            out = [spliced(t, [(x["start_char"], x["end_char"], x["kind"]) for x in own or ()]) for t, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array(out, pa.string())})
+
+    own = _spans(documents, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char", "kind"))).alias("spans"))
+    own = own.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    both = texts.join(own, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, text string")
