@@ -63,7 +63,8 @@ def mixed(spark):
     bad[6] = "".join(c if c < "\x7f" else f"&#{ord(c)};" for c in bad[2])
     bad[7] = "Zimn� dob�"
     rows = [(i, t.encode()) for i, t in bad.items()] + [(100 + i, (CZECH if i % 2 else GREEK).encode()) for i in range(60)] + [(200, b""), (201, None), (202, b"plain ASCII"), (203, b"\xff\xfe")]
-    return spark.createDataFrame([("r", i, bytearray(b) if b is not None else None) for i, b in rows], "src string, rec_id bigint, body binary"), bad
+    rows = [("r", i, i, bytearray(b) if b is not None else None) for i, b in rows]
+    return spark.createDataFrame(rows, "src string, rec_id bigint, source bigint, body binary"), bad
 
 
 def test_damaged(spark, mixed):
@@ -75,6 +76,66 @@ def test_damaged(spark, mixed):
     assert encodings.damaged(df.limit(0)).count() == 0
 
 
+PROSE = """Městský archiv sbírá staré mapy a fotografie přístavu. Naše knihovna měří výšku říční hladiny každý den před příchodem návštěvníků.
+Zahradník třídí žluté růže a pečlivě přepisuje všechny štítky. Převozník vysvětluje dětem, proč je řeka v zimě tichá. Stará pekárna nabízí čerstvý chléb
+a sladké koláče. Učitelka zítra přinese dvě ručně kreslené mapy, které našla ve skříni. Meteorologická stanice hlásí déšť, vítr a občasné přeháňky. Úředník
+zapíše číslo žádosti a vrátí průkaz. Průvodce ukáže nejstarší dům ve městě, kde kdysi žil známý hodinář. Šachový kroužek se schází každé úterý večer v klubovně."""
+
+
+@pytest.mark.parametrize(("written", "read"), [("cp1250", None), ("cp1250", "cp852"), ("cp1250", "iso8859-5"), ("iso8859-2", "cp1257"), ("iso8859-2", "cp1254"), ("cp1250", "iso8859-4")])
+def test_ciphers_of_no_list(spark, written, read):
+    """One source under a random permutation of the upper half, or a swap that no list has, is found and restored."""
+    r = random.Random(4)
+    sentences = PROSE.replace("\n", " ").split(". ")
+
+    def page(n):
+        return "\n".join(r.sample(sentences, n))
+
+    codes = list(range(128, 256))
+    r.shuffle(codes)
+    swap = bytes([*range(128), *codes])
+    true = {i: page(5) for i in range(100, 140)}
+    bad = {i: t.encode(written).translate(swap).decode("latin-1") if read is None else t.encode(written).decode(read, "replace") for i, t in true.items()}
+    rows = [("r", i, i % 12, bytearray(page(4).encode())) for i in range(60)] + [("r", i, 99, bytearray(t.encode())) for i, t in bad.items()]
+    df = spark.createDataFrame(rows, "src string, rec_id bigint, source bigint, body binary")
+    learned = encodings.learn(df)
+    text = {x.rec_id: x.text for x in encodings.restored(df, learned).collect()}
+    assert len(set(text) & set(true)) >= 0.9 * len(true) and not set(text) - set(true)
+    pairs = [(a, b) for i in text for a, b in zip(true[i], text[i]) if a > "\x7f" and a != "\ufffd"]
+    assert sum(a == b for a, b in pairs) >= (0.9 if read is None else 0.85) * len(pairs)
+
+
+def test_ciphers_of_other_scripts():
+    """Greek under a permutation: the letters' neighbours are letters under it themselves."""
+    greek = (
+        "ο μετεωρολογικός σταθμός ελέγχει τις παλιές φωτογραφίες με ελάχιστη μνήμη και η βιβλιοθήκη της πόλης μετρά τη στάθμη του ποταμού κάθε πρωί πριν έρθουν οι επισκέπτες "
+        "ο κηπουρός ταξινομεί τους σπόρους και ο φούρναρης γράφει τον κατάλογο του αρχείου με το χέρι ενώ ο οδηγός εξηγεί στα παιδιά γιατί το λιμάνι είναι ήσυχο τον χειμώνα "
+        "η δασκάλα φέρνει δύο χάρτες που βρήκε στο παλιό ντουλάπι και ο υπάλληλος σημειώνει τον αριθμό της αίτησης"
+    )
+    counts, r = {}, random.Random(2)
+    for w in greek.split():
+        for t in encodings.neighbourhoods(w):
+            counts[t] = counts.get(t, 0) + 1
+    codes = list(range(0xA1, 0x100))
+    r.shuffle(codes)
+    own = dict(zip(sorted({c for c in greek if c != " "}), map(chr, codes)))
+    pairs = {}
+    for w in greek.split():
+        for uv in encodings._pairs("".join(own[c] for c in w)):
+            pairs[uv] = pairs.get(uv, 0) + 5
+    table = encodings.break_cipher(pairs, counts)
+    letters = [c for c in greek if c != " "]
+    assert sum(table.get(own[c], "").lower() == c for c in letters) >= 0.8 * len(letters)
+
+
+def test_one_hot_source_is_no_language(spark):
+    """All pages of a source with a third of the rows suffer one swap of the list."""
+    rows = [("r", i, i % 12, bytearray(PROSE.encode())) for i in range(60)] + [("r", i, 99, bytearray(PROSE.encode("cp1250").decode("latin-1").encode())) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "src string, rec_id bigint, source bigint, body binary")
+    got = {x.rec_id: x.text for x in encodings.restored(df).collect()}
+    assert set(got) == set(range(100, 130)) and all(t == PROSE for t in got.values())
+
+
 # --- 4: boilerplate ----------------------------------------------------------------------------------------------------
 
 
