@@ -14,7 +14,7 @@ from trawlnet.llm import boilerplate, copies, encodings, leakage, personal, quer
     [
         ('{"b": 1, "a": [2, {"y": "Q r", "x": null}]}', ' {"A":[2,{"X":null,"Y":"q-R"}],"B":1}', True),
         ('{"a": [1, 2]}', '{"a": [2, 1]}', False), ("x=1&y=a+b", "y=a%20b&X=1", True), ("salt & pepper", "pepper & salt", False), ("", None, True),
-        ("{broken", "broken", True), ("[1.0]", "[10]", False), ("%zz", "zz", True),
+        ("{broken", "broken", True), ("[1.0]", "[10]", False), ("%zz", "zz", True), ("cafe\u0301 x", "CAFE\u0301_x", True), ("a\u0301b", "a b", False),
     ],
 )
 def test_payload_words(a, b, same):
@@ -29,7 +29,7 @@ def test_canonical_urls(spark):
     df = spark.createDataFrame(pairs, "a string, b string, same boolean")
     key = lambda c: copies.key_of(copies.url_words(F.col(c)))
     for r in df.select("a", "b", "same", (key("a") == key("b")).alias("got")).collect():
-        assert r.got == r.same or r.a and "q=1" in r.a, r
+        assert r.got == r.same, r
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 17])
@@ -182,6 +182,9 @@ def test_lexicon_of_any_marks(spark, begin, end):
     body = "\n".join([begin, "<p>The editor sorts the maps.</p>", end, "<FOOTER>", "Opening hours of the ferry", "</FOOTER>"])
     df = spark.createDataFrame([(i, 200, "text/html", bytearray(body.encode())) for i in range(3)], "response_id bigint, status int, mime string, body binary")
     around, content = boilerplate.learn_lexicon(df)
+    long = "\n".join(["<main>", "<p>x</p>", "</main>", "<footer>", "Imprint " * 100, "</footer>"])
+    rows = [(i, 200, "text/html", bytearray(long.encode())) for i in range(3)]
+    assert boilerplate._hash(" ".join(["Imprint"] * 100)) in boilerplate.learn_lexicon(spark.createDataFrame(rows, df.schema))[0]
     assert boilerplate._hash("Opening hours of the ferry") in around and boilerplate._hash("The editor sorts the maps.") in content
 
 

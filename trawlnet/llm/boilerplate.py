@@ -35,7 +35,7 @@ TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 WINDOW, SURGE = 3, 60
 #: The most frequent line texts kept; bounds what is collected and sent to the workers.
 LEXICON = 200_000
-LONGEST = 400  # characters of a line text that can be in the lexicon
+LONGEST = 400  # characters of a line text whose mended form is remembered
 _MEMO = 1 << 16
 
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>")
@@ -280,7 +280,7 @@ def learn_lexicon(responses: DataFrame, most: int = LEXICON) -> tuple[frozenset[
                 if not any(n.role > 0 for n in lines):
                     continue
                 for n in lines:
-                    if n.role and len(n.text) <= LONGEST:
+                    if n.role and n.text:
                         seen[_hash(_bare(n.text))][n.role > 0] += 1
                         if lead := _lead(n.text):
                             seen[_hash(lead)][n.role > 0] += 1

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from trawlnet.session import shuffle_partitions, written
 
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
-_NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD = regex.compile(NOT_WORD)
 _FORM = re.compile(r"[^=&\s]+=[^&]*(?:&[^=&\s]+=[^&]*)*&*")
 
 
