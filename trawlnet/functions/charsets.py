@@ -20,18 +20,25 @@ WEB_LABELS = {
     **dict.fromkeys("euc-kr ks_c_5601-1987 korean".split(), "cp949"),
     "utf8": "utf-8", "unicode-1-1-utf-8": "utf-8", "x-mac-cyrillic": "mac_cyrillic", "macintosh": "mac_roman", "x-user-defined": "latin-1",
 }
+#: The codecs of the charsets that the web knows.
+WEB_CODECS = frozenset(
+    "utf-8 utf-16-le utf-16-be cp866 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 "
+    "koi8-r koi8-u mac-roman cp874 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 mac-cyrillic gb18030 big5 big5hkscs euc_jp iso2022_jp cp932 cp949 iso8859-1".split()
+)
 _PRESCAN = r"(?i)<meta[^>]+\bcharset\s*=\s*[\"']?\s*([^\s\"'/>;]+)"
 
 
 def codec_of(label: str | None) -> str | None:
-    """The codec for a charset label as the web reads it; None for unknown labels."""
+    """The codec for a charset label as the web reads it; None for labels the web doesn't know, whatever else has them."""
     if not label:
         return None
     name = label.strip().strip("\"'").lower()
+    name = {"utf-16": "utf-16-le", "big5-hkscs": "big5hkscs"}.get(name, WEB_LABELS.get(name, name))
     try:
-        return codecs.lookup(WEB_LABELS.get(name, name)).name
+        codec = codecs.lookup(name).name
     except (LookupError, ValueError):
         return None
+    return codec if codec in WEB_CODECS else None
 
 
 def prescan(body: Column) -> Column:

@@ -132,7 +132,7 @@ def robots_allowed(urls: DataFrame, files: DataFrame, agent: str = "*", url_col:
 def _upper_escapes(path: Column) -> Column:
     """Escapes in upper case; the letters around them stay."""
     parts = F.split(path, "%")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.concat(F.lit("%"), F.upper(F.substring(p, 1, 2)), F.substring(p, 3, 100000)))
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.concat(F.lit("%"), F.upper(F.substring(p, 1, 2)), F.substring(p, F.lit(3), F.length(p))))
     return F.when(path.contains("%"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(path)
 
 

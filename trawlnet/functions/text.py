@@ -26,6 +26,8 @@ def js_number(text: str) -> float | None:
             return float(int(m[2], {"x": 16, "o": 8, "b": 2}[m[1].lower()]))
         except ValueError:
             return None
+        except OverflowError:
+            return float("inf")
     return float(t.replace("Infinity", "inf")) if _NUMBER.fullmatch(t) else None
 
 
@@ -42,13 +44,18 @@ def js_number_column(c: Column) -> Column:
     )
 
 
+_SECONDS, _LONG = 1 << 64, (1 << 63) - 1
+
+
 def retry_after_ms(value: str | None, now_ms: int) -> int | None:
-    """Milliseconds a Retry-After value asks to wait: whole seconds above 0, or a date in the future."""
+    """Milliseconds a Retry-After value asks to wait: whole seconds above 0 (of 64 bits, else it's no value), or a date in
+    the future."""
     if value is None:
         return None
     t = value.strip()
     if re.fullmatch(r"[0-9]+", t):
-        return int(t) * 1000 or None
+        seconds = int(t) if len(t) < 40 else _SECONDS
+        return min(seconds * 1000, _LONG) or None if seconds < _SECONDS else None
     try:
         at = parsedate_to_datetime(t)
     except (ValueError, TypeError, IndexError):
@@ -58,7 +65,10 @@ def retry_after_ms(value: str | None, now_ms: int) -> int | None:
             at = None
     if at is None:
         return None
-    wait = int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000) - now_ms
+    try:
+        wait = int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000) - now_ms
+    except (OverflowError, ValueError, OSError):  # a zone that leads out of the calendar
+        return None
     return wait if wait > 0 else None
 
 
@@ -74,24 +84,38 @@ def error_group(message: Column) -> Column:
     return F.regexp_replace(F.substring(F.substring_index(message, "\n", 1), 1, 200), "[0-9]+", "_")
 
 
+def _number(x: float) -> str:
+    if x != x or x in (float("inf"), float("-inf")):
+        return "null"
+    if x == int(x) and abs(x) < 1e21:
+        return str(int(x))
+    m = re.fullmatch(r"(-?[\d.]+?)(?:\.0)?e([+-])0*(\d+)", repr(x))
+    return f"{m[1]}e{m[2]}{m[3]}" if m else repr(x)
+
+
+def compact_json(text: str) -> str:
+    """JSON in one line, numbers as scripts write them."""
+
+    def write(v: object) -> str:
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{write(x)}" for k, x in v.items()) + "}"
+        if isinstance(v, list):
+            return f"[{','.join(map(write, v))}]"
+        return _number(v) if isinstance(v, float) else json.dumps(v, ensure_ascii=False)
+
+    return write(json.loads(text))
+
+
 def pretty_json(text: str) -> str:
     """JSON in the form records are stored in: two spaces, letters as they are, numbers as scripts write them."""
 
-    def number(x: float) -> str:
-        if x != x or x in (float("inf"), float("-inf")):
-            return "null"
-        if x == int(x) and abs(x) < 1e21:
-            return str(int(x))
-        m = re.fullmatch(r"(-?[\d.]+?)(?:\.0)?e([+-])0*(\d+)", repr(x))
-        return f"{m[1]}e{m[2]}{m[3]}" if m else repr(x)
-
     def write(v: object, pad: str) -> str:
         inner = pad + "  "
         if isinstance(v, dict):
             return "{" + ",".join(f"\n{inner}{json.dumps(k, ensure_ascii=False)}: {write(x, inner)}" for k, x in v.items()) + (f"\n{pad}}}" if v else "}")
         if isinstance(v, list):
             return "[" + ",".join(f"\n{inner}{write(x, inner)}" for x in v) + (f"\n{pad}]" if v else "]")
-        return number(v) if isinstance(v, float) else json.dumps(v, ensure_ascii=False)
+        return _number(v) if isinstance(v, float) else json.dumps(v, ensure_ascii=False)
 
     return write(json.loads(text), "")
 

@@ -64,9 +64,14 @@ def with_row_numbers(rows: DataFrame, order: str, name: str) -> DataFrame:
     return spread.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
-def fetch_next(queue: DataFrame, n: int) -> DataFrame:
-    """The next `n` requests, first by order number: a top-k."""
-    return queue.where("order_no is not null and not in_progress").orderBy("order_no").limit(n)
+def fetch_next(queue: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The next `n` requests, first by order number, then by `ties` where numbers aren't unique: a top-k."""
+    return queue.where("order_no is not null and not in_progress").orderBy("order_no", *ties).limit(n)
+
+
+def lookup(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    """The queue's requests with an id of `ids` (id); ids it doesn't have give no row."""
+    return queue.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def mark_in_progress(queue: DataFrame, batch: DataFrame) -> DataFrame:

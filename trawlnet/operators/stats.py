@@ -55,27 +55,75 @@ def error_histogram(attempts: DataFrame, outcomes: tuple[str, ...] = ("failed",)
     return attempts.where(F.col("outcome").isin(*outcomes)).groupBy(error_group(F.col("error_message")).alias("error_group")).agg(F.count("*").alias("n"))
 
 
-#: The members of a stored statistics record, in their order, and the column each is read from.
+#: The members of a stored statistics record, in their order, and the column and type of each.
 RECORD = {
-    "requestsFinished": "requests_finished", "requestsFailed": "requests_failed", "requestsRetries": "requests_retries", "requestsSkipped": "requests_skipped",
-    "requestsFailedPerMinute": "failed_per_minute", "requestsFinishedPerMinute": "succeeded_per_minute", "requestMinDurationMillis": "min_duration_ms",
-    "requestMaxDurationMillis": "max_duration_ms", "requestTotalFailedDurationMillis": "failed_ms", "requestTotalFinishedDurationMillis": "succeeded_ms",
-    "requestAvgFailedDurationMillis": "avg_failed_ms", "requestAvgFinishedDurationMillis": "avg_succeeded_ms",
+    "requestsSucceeded": "requests_succeeded bigint", "requestsFailed": "requests_failed bigint", "requestsRetries": "requests_retries bigint",
+    "requestsFailedPerMinute": "failed_per_minute bigint", "requestsSucceededPerMinute": "succeeded_per_minute bigint", "requestMinDurationMillis": "min_duration_ms bigint",
+    "requestMaxDurationMillis": "max_duration_ms bigint", "requestTotalFailedDurationMillis": "failed_ms bigint", "requestTotalSucceededDurationMillis": "succeeded_ms bigint",
+    "crawlerStartedAt": "started_at timestamp", "crawlerFinishedAt": "finished_at timestamp", "statsPersistedAt": "persisted_at timestamp", "crawlerRuntimeMillis": "runtime_ms bigint",
+    "crawlerLastStartTimestamp": "last_start_ms bigint", "requestRetryHistogram": "retry_histogram array<bigint>", "statsId": "stats_id string",
+    "requestAvgFailedDurationMillis": "avg_failed_ms bigint", "requestAvgSucceededDurationMillis": "avg_succeeded_ms bigint", "requestTotalDurationMillis": "total_ms bigint",
+    "requestsTotal": "requests_total bigint", "requestsWithStatusCode": "status_codes map<string,bigint>", "errors": "errors map<string,bigint>", "retryErrors": "retry_errors map<string,bigint>",
 }
+_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+#: Members that may be null in a record that is restored.
+_NULLABLE = {
+    "requestsFailedPerMinute", "requestsSucceededPerMinute", "requestMinDurationMillis", "crawlerStartedAt", "crawlerFinishedAt", "requestAvgFailedDurationMillis",
+    "requestAvgSucceededDurationMillis",
+}
+
+
+def histograms(attempts: DataFrame) -> DataFrame:
+    """One row (retry_histogram, status_codes, errors, retry_errors): the histograms as a record holds them. They have an entry
+    for each number of retries, status and group of errors, not for each attempt."""
+
+    def packed(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string"), F.col("n"))))).alias(name))
+
+    retries = retry_histogram(attempts).agg(F.transform(F.sort_array(F.collect_list(F.struct("retries", "n"))), lambda x: x.n).alias("retry_histogram"))
+    out = retries.join(packed(status_histogram(attempts), "status", "status_codes"))  # one row each
+    out = out.join(packed(error_histogram(attempts), "error_group", "errors"))
+    return out.join(packed(error_histogram(attempts, ("retry",)), "error_group", "retry_errors"))
 
 
 def statistics_record(statistics: DataFrame) -> DataFrame:
-    """(record): statistics as JSON; averages of nothing and the extremes of nothing are null."""
-    empty = {"requestAvgFailedDurationMillis", "requestAvgFinishedDurationMillis", "requestMinDurationMillis"}
-    fields = [(F.nullif(F.col(c), F.lit(0).cast("bigint")) if n in empty else F.col(c)).alias(n) for n, c in RECORD.items()]
+    """(record): statistics as JSON with all members; columns that aren't there are empty or null. Averages of nothing are
+    null, and the minimum is while nothing has ended; a minimum of 0 is 0."""
+    empty = {"retry_histogram": F.array().cast("array<bigint>"), "status_codes": F.create_map().cast("map<string,bigint>"), "errors": F.create_map().cast("map<string,bigint>")}
+    empty |= {"retry_errors": empty["errors"], "persisted_at": F.current_timestamp(), "runtime_ms": F.lit(0), "last_start_ms": F.unix_millis(F.current_timestamp()), "stats_id": F.lit("0")}
+    empty["total_ms"] = F.col("succeeded_ms") + F.col("failed_ms")
+    zero = F.lit(0).cast("bigint")
+    fields = []
+    for n, kind in RECORD.items():
+        name, of = kind.split(" ", 1)
+        c = F.col(name) if name in statistics.columns else empty.get(name, F.lit(None)).cast(of)
+        if n.startswith("requestAvg"):
+            c = F.nullif(c, zero)
+        elif n == "requestMinDurationMillis":
+            c = F.when(F.col("requests_total") > 0, c)
+        fields.append((F.date_format(c, _ISO) if of == "timestamp" else c).alias(n))
     return statistics.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def restore_statistics(records: DataFrame) -> DataFrame:
-    """Statistics from their records; one that lacks a member gives no row."""
-    j = records.select("record", F.from_json("record", ", ".join(f"{n} bigint" for n in RECORD)).alias("j"))
-    whole = F.array_size(F.array_intersect(F.json_object_keys("record"), F.array(*[F.lit(n) for n in RECORD]))) == len(RECORD)
-    return j.where(whole).select(*[F.coalesce(f"j.{n}", F.lit(0).cast("bigint")).alias(c) for n, c in RECORD.items()])
+    """Statistics from their records; one that lacks a member, or has null where none may be, gives no row. Errors are kept
+    if they're counts by group."""
+    ddl = ", ".join(f"`{n}` {'string' if kind.endswith('timestamp') else kind.split(' ', 1)[1]}" for n, kind in RECORD.items() if n not in ("errors", "retryErrors"))
+    j = records.select("record", F.from_json("record", ddl).alias("j"))
+    whole = F.size(F.array_intersect(F.json_object_keys("record"), F.array(*[F.lit(n) for n in RECORD]))) == len(RECORD)
+    for n in RECORD:
+        if n not in _NULLABLE and n not in ("errors", "retryErrors"):
+            whole = whole & F.col(f"j.{n}").isNotNull()
+    out = []
+    for n, kind in RECORD.items():
+        name, of = kind.split(" ", 1)
+        if n in ("errors", "retryErrors"):
+            c = F.coalesce(F.from_json(F.get_json_object("record", f"$.{n}"), of, {"mode": "PERMISSIVE"}), F.create_map().cast(of))
+        else:
+            c = F.try_to_timestamp(f"j.{n}") if of == "timestamp" else F.col(f"j.{n}")
+            c = F.coalesce(c, F.lit(0).cast("bigint")) if of == "bigint" else c
+        out.append(c.alias(name))
+    return j.where(whole).select(*out)
 
 
 def runtime_ms(started: Column, ended: Column, earlier_ms: Column | None = None) -> Column:

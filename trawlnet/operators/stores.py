@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawlnet.functions.text import compact_json, pretty_json
 from trawlnet.operators.frontier import with_row_numbers
 
 KEY = r"^[A-Za-z0-9!\-_.'()]{1,256}$"
@@ -40,16 +43,20 @@ def typed(dataset: DataFrame, schema: str) -> DataFrame:
 
 
 def export(dataset: DataFrame, path: str) -> int:
-    """Writes items to a .jsonl or .json file by way of the driver's file system, row by row; gives their number."""
+    """Writes items to a .jsonl file, a line each, or as one pretty array to a .json file, by way of the driver's file system
+    and row by row; folders that aren't there are made. Gives the number of items."""
     if not path.endswith((".json", ".jsonl")):
         raise ValueError("only .json and .jsonl can be written")
     n = 0
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    lines = path.endswith("l")
     with open(path, "w", encoding="utf-8") as f:
-        f.write("" if path.endswith("l") else "[")
+        f.write("" if lines else "[")
         for row in dataset.orderBy("seq").select("item").toLocalIterator():
-            f.write(f"{row[0]}\n" if path.endswith("l") else f"{',' if n else ''}\n  {row[0]}")
+            item = compact_json(row[0]) if lines else pretty_json(row[0]).replace("\n", "\n  ")
+            f.write(f"{item}\n" if lines else f"{',' if n else ''}\n  {item}")
             n += 1
-        f.write("" if path.endswith("l") else "\n]\n" if n else "]\n")
+        f.write("" if lines else "\n]\n" if n else "]\n")
     return n
 
 

@@ -176,8 +176,8 @@ def frontier_add(spark: SparkSession, d: str) -> DataFrame:
 
 def frontier_next(spark: SparkSession, d: str) -> DataFrame:
     """The hundred requests fetched next: a top-k."""
-    x = table(spark, d, "requests").withColumn("in_progress", F.lit(False)).withColumn("order_no", F.col("order_no") * 1_000_000_000 + F.col("row_id"))
-    return Q.fetch_next(x, 100).select("row_id", "id")
+    x = table(spark, d, "requests").withColumn("in_progress", F.lit(False))
+    return Q.fetch_next(x, 100, "row_id").select("row_id", "id")
 
 
 def frontier_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -124,4 +124,4 @@ def _fetch(opener, rid, url, method, payload, headers, timeout: float, most: int
                 return out(answer.status, hs, data)
         return out(error="too many redirects")
     except (OSError, ValueError, zlib.error) as e:
-        return out(error=str(e)[:200])
+        return out(error=str(e))
