@@ -6,7 +6,8 @@ runs again replaces its files. Within a batch the delivery with the lowest row n
 batch has written isn't written again.
 
 Only keys are shuffled to find what stays (with partial aggregation, so a record delivered over and over costs nothing);
-whole rows are then joined by their unique row number, which has no skew. Rows with a null key aren't records and are left
+whole rows are then joined by their unique row number, which has no skew, in as many partitions as files are written, so
+rows are shuffled once and no task reads more than a file takes. Later batches read the keys of those before, not their rows. Rows with a null key aren't records and are left
 out. Empty inputs give an empty table. Columns of any name go through unchanged, save `batch`, which the target reserves.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from trawlnet.session import fresh_path
 
 TARGET_BYTES = 128 << 20
-#: Files are at least this large before their number is raised to the cores there are.
+#: Files are at least this large before their number is raised to four for each core.
 LEAST_BYTES = 4 << 20
 
 
@@ -55,15 +56,14 @@ def compact(
     def write(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         size = batch.groupBy("_file").agg(F.max("_size").alias("_size")).agg(F.sum("_size")).first()[0] or 0
-        files = max(1, math.ceil(size / target_bytes), min(cores, math.ceil(size / LEAST_BYTES)))
+        files = max(1, math.ceil(size / target_bytes), min(4 * cores, math.ceil(size / LEAST_BYTES)))
         rows = batch.drop("_file", "_size")
         stays = rows.groupBy(*_key(keys)).agg(F.min(row_id).alias(row_id))
         if number:
             before = own.read.parquet(target).where(F.col("batch") < number).select(*keys)
             stays = stays.join(before, keys, "left_anti")
-        kept = rows.join(stays.select(row_id), row_id, "left_semi").select(*schema.names)
-        parts = int(own.conf.get("spark.sql.shuffle.partitions"))
-        kept = kept.coalesce(files) if files <= parts else kept.repartition(files)
+        # Both sides are cut into the files' partitions by the join's key: the join needs no other exchange, the write none.
+        kept = rows.repartition(files, row_id).join(stays.select(row_id).repartition(files, row_id).hint("merge"), row_id, "left_semi").select(*schema.names)
         kept.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,16 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     at = os.environ.get("TRAWLNET_LOCAL_SHARED") or tempfile.mkdtemp(prefix="trawlnet-")
     os.environ["TRAWLNET_LOCAL_SHARED"] = at
     return f"file://{at}"
 
 
+_roots: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/trawlnet/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses. All paths of an application are removed when its driver ends."""
+    root = f"{shared_dir(spark)}/trawlnet/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path(root), spark._jsc.hadoopConfiguration()
+        atexit.register(_remove, path, conf)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(path: object, conf: object) -> None:
+    with contextlib.suppress(Exception):  # the driver's JVM may have ended before
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -62,13 +78,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def local_path(uri: str) -> str | None:
-    """The path of a file: URI or plain path as the workers' file system sees it; None for other file systems."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if uri.startswith("/") else None
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
