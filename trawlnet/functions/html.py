@@ -13,7 +13,8 @@ from functools import lru_cache
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -439,6 +440,37 @@ ELEMENTS = T.ArrayType(
 )
 
 
+def link_rows(pages: DataFrame, keep: list[str], html: str = "text", base_url: str = "loaded_url", selector: str = "a", repeats: bool = True) -> DataFrame:
+    """A row for each link of each page: the columns `keep` of the page, `pos`, `is_first` (no link before it on the page has
+    its URL) and the parsed URL as `_u`; without `repeats` only the first of each URL. Each page is parsed once, whatever
+    filters follow, and no list of a page's links is ever made a value of a row."""
+    compile_selector(selector)
+    names = [f.name for f in URL_PARTS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, places, firsts, urls = [], [], [], []
+            for i, (h, base) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                seen: set[str] = set()
+                for pos, u in enumerate(link_urls(h, selector, base) if h is not None else ()):
+                    first = u.href not in seen
+                    if first or repeats:
+                        rows.append(i)
+                        places.append(pos)
+                        firsts.append(first)
+                        urls.append(_parts(u))
+                        seen.add(u.href)
+            columns = list(zip(*urls)) or [[]] * len(names)
+            parsed = pa.StructArray.from_arrays([pa.array(c, pa.int32() if n == "port" else pa.string()) for n, c in zip(names, columns)], names)
+            at = pa.array(rows, pa.int64())
+            own = [b.column(k).take(at) for k in range(2, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(firsts, pa.bool_()), parsed], names=[*keep, "pos", "is_first", "_u"])
+
+    fields = [pages.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("pos", T.IntegerType()), T.StructField("is_first", T.BooleanType()), T.StructField("_u", URL_PARTS)])
+    return pages.select(F.col(html).alias("_html"), F.col(base_url).alias("_base_url"), *keep).mapInArrow(run, schema)
+
+
 def page_links(html: Column, base_url: Column, selector: str = "a") -> Column:
     """The links of a page as an array of (pos, url parts)."""
     compile_selector(selector)
@@ -453,7 +485,7 @@ def page_links(html: Column, base_url: Column, selector: str = "a") -> Column:
                 out.append([{"pos": i, "url": dict(zip(names, _parts(u)))} for i, u in enumerate(found)])
             yield pd.Series(out, dtype=object)
 
-    return run(html, base_url)
+    return run.asNondeterministic()(html, base_url)  # else a filter on its result runs it a second time
 
 
 def page_title(html: Column) -> Column:

@@ -75,12 +75,16 @@ def parse_robots(content: str) -> dict:
 
 
 @F.pandas_udf(RULES)
-def robots_rules(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _rules(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in parts:
         got = [parse_robots(x if isinstance(x, str) else "") for x in s]
         yield pd.DataFrame({k: pd.Series([g[k] for g in got], dtype=object) for k in ("groups", "rules", "sitemaps")})
 
 
+#: Not deterministic to the optimizer, as it would run it again for each filter on its result.
+robots_rules = _rules.asNondeterministic()
+
+
 def pattern_regex(pattern: Column) -> Column:
     """The anchored regular expression of a rule: `*` is anything, `$` counts at the end only."""
     body = F.regexp_replace(pattern, r"([\\.\[\]{}()+?^|$])", r"\\$1")
@@ -108,19 +112,16 @@ def robots_allowed(urls: DataFrame, files: DataFrame, agent: str = "*", url_col:
     The group is the agent's own, else that of `*`; the longest pattern decides, and Allow wins ties. One row of rules a
     URL origin is joined, so a URL is never multiplied by the rules.
     """
-    rules, groups, _ = robots_tables(files)
     name = agent_name(agent)
-    mine = F.col("agent") == name
-    pick = groups.where(F.col("agent").isin(name, "*")).groupBy("origin").agg(
-        F.max_by("agent", mine.cast("int")).alias("agent"), F.max_by(F.struct("crawl_delay"), mine.cast("int")).alias("_d")
-    )
-    of_group = rules.select("origin", "agent", "pattern", "allow", pattern_regex(F.col("pattern")).alias("regex"))
-    packed = (
-        pick.join(of_group, ["origin", "agent"], "left")
-        .groupBy("origin")
-        .agg(F.first("_d.crawl_delay").alias("crawl_delay"), F.array_compact(F.collect_list(F.when(F.col("regex").isNotNull(), F.struct(F.length("pattern").alias("n"), "allow", "regex")))).alias("_robots_rules"))
-    )
-    parsed = urls.withColumn("_robots_url", url_parts(F.col(url_col)))
+    one = files.groupBy("origin").agg(F.min("content").alias("content")).select("origin", robots_rules("content").alias("r"))
+    # A file's rules stay in its one row: the group is picked and its patterns are compiled there.
+    own = F.when(F.exists("r.groups", lambda g: g.agent == name), F.lit(name)).otherwise(F.lit("*"))
+    one = one.select("origin", "r", own.alias("_agent"))
+    packed = one.select(
+        "origin", F.get(F.filter("r.groups", lambda g: g.agent == F.col("_agent")), F.lit(0))["crawl_delay"].alias("crawl_delay"),
+        F.transform(F.filter("r.rules", lambda r: r.agent == F.col("_agent")), lambda r: F.struct(F.length(r.pattern).alias("n"), r.allow.alias("allow"), pattern_regex(r.pattern).alias("regex"))).alias("_robots_rules"),
+    )
+    parsed = urls.withColumn("_robots_url", url_parts.asNondeterministic()(F.col(url_col)))
     path = F.concat(F.col("_robots_url.path"), F.coalesce(F.concat(F.lit("?"), F.col("_robots_url.query")), F.lit("")))
     parsed = parsed.withColumn("_robots_path", _upper_escapes(path)).withColumn("_robots_origin", F.col("_robots_url.origin"))
     joined = parsed.join(packed.withColumnRenamed("origin", "_robots_origin"), "_robots_origin", "left")

@@ -32,20 +32,27 @@ class EnqueueOptions:
 
 
 def skip_reasons(links: DataFrame, options: EnqueueOptions, robots: DataFrame | None = None) -> DataFrame:
-    """`links` (src_id, pos, url, base_url, depth of the page; `_u` if the URL was parsed already) with `skip_reason`, null for links to enqueue.
+    """`links` (src_id, pos, url, base_url, depth of the page) with `skip_reason`, null for links to enqueue. What is known already
+    isn't computed again: the parsed URL `_u`, the parsed base `_b` with its domain `_bd`, and `is_first`, which says that no
+    link before it on the page has its URL.
 
     In this order: scheme and strategy, patterns, a copy within the page (of the URL text; 'duplicate'), depth, robots. The
-    copies of a filtered link have its reason, those of a passing one are duplicates. Pages' links don't meet: the window
-    is over one page.
+    copies of a filtered link have its reason, those of a passing one are duplicates. Pages' links don't meet: where the
+    first links aren't known, a window over one page finds them.
     """
     o = options
     x = links if "_u" in links.columns else links.withColumn("_u", url_parts("url"))
-    x = x.withColumn("_b", url_parts("base_url"))
-    x = x.withColumn("_ud", registrable_domains(F.col("_u.host"))).withColumn("_bd", registrable_domains(F.col("_b.host")))
+    by_domain = o.strategy == "same-domain"  # the one strategy that needs domains
+    x = x if "_b" in x.columns else x.withColumn("_b", url_parts("base_url"))
+    x = x if "_bd" in x.columns else x.withColumn("_bd", registrable_domains(F.col("_b.host")) if by_domain else F.lit(None).cast("string"))
+    x = x.withColumn("_ud", registrable_domains(F.col("_u.host")) if by_domain else F.lit(None).cast("string"))
     x = x.withColumn("_r1", rejection(F.lit(o.strategy), F.col("_u"), F.col("_b"), F.col("_ud"), F.col("_bd")))
     x = x.withColumn("_r1", F.coalesce("_r1", F.when(~passes(F.col("_u.href"), o.include, o.exclude, o.include_regex, o.exclude_regex), "pattern")))
-    nth = F.row_number().over(Window.partitionBy("src_id", "_u.href", F.col("_r1").isNull()).orderBy("pos"))
-    reason = F.coalesce(F.col("_r1"), F.when(nth > 1, "duplicate"))
+    if "is_first" in x.columns:
+        again = ~F.col("is_first")
+    else:
+        again = F.row_number().over(Window.partitionBy("src_id", "_u.href", F.col("_r1").isNull()).orderBy("pos")) > 1
+    reason = F.coalesce(F.col("_r1"), F.when(again, "duplicate"))
     if o.max_depth is not None:
         reason = F.coalesce(reason, F.when(F.coalesce(F.col("depth"), F.lit(0)) + 1 > o.max_depth, "depth"))
     x = x.withColumn("skip_reason", reason)
@@ -54,7 +61,7 @@ def skip_reasons(links: DataFrame, options: EnqueueOptions, robots: DataFrame |
 
         x = robots_allowed(x.withColumn("_href", F.col("_u.href")), robots, o.agent, "_href")
         x = x.withColumn("skip_reason", F.coalesce("skip_reason", F.when(~F.col("allowed"), "robots"))).drop("allowed", "crawl_delay", "_href")
-    return x.withColumn("url", F.coalesce("_u.href", "url")).drop("_u", "_b", "_ud", "_bd", "_r1")
+    return x.withColumn("url", F.coalesce("_u.href", "url")).drop("_u", "_b", "_ud", "_bd", "_r1", "is_first")
 
 
 def to_requests(links: DataFrame, options: EnqueueOptions) -> DataFrame:

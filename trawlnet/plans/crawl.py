@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trawlnet import schemas
 from trawlnet.functions.charsets import decode_body, prescan, resolved_charset
-from trawlnet.functions.html import page_links
+from trawlnet.functions.html import link_rows
 from trawlnet.functions.suffixes import registrable_domains
 from trawlnet.functions.urls import filter_base, rejection, url_parts
 from trawlnet.operators import attempts as A
@@ -56,13 +56,20 @@ def decoded(pages: DataFrame, mime: str = "mime", charset: str = "charset") -> D
     return pages.withColumn("text", decode_body("body", label))
 
 
-def links_of(pages: DataFrame, options: EnqueueOptions, selector: str = "a") -> DataFrame:
-    """(src_id, pos, url, base_url, depth, _u) of the links of fetched pages (id, url, loaded_url, text, crawl_depth)."""
-    x = pages.withColumn("_o", url_parts("url")).withColumn("_f", url_parts("loaded_url"))
-    x = x.withColumn("_od", registrable_domains(F.col("_o.host"))).withColumn("_fd", registrable_domains(F.col("_f.host")))
-    base = filter_base(F.lit(options.strategy), F.lit(None).cast("string"), F.col("url"), F.col("loaded_url"), F.col("_od"), F.col("_fd"))
-    x = x.select(F.col("id").alias("src_id"), base.alias("base_url"), F.coalesce("crawl_depth", F.lit(0)).alias("depth"), page_links(F.col("text"), F.coalesce("loaded_url", "url"), selector).alias("_l"))
-    return x.select("src_id", "base_url", "depth", F.explode("_l").alias("l")).select("src_id", F.col("l.pos").alias("pos"), F.col("l.url.href").alias("url"), "base_url", "depth", F.col("l.url").alias("_u"))
+def links_of(pages: DataFrame, options: EnqueueOptions, selector: str = "a", repeats: bool = True) -> DataFrame:
+    """(src_id, pos, url, base_url, depth, is_first, and parsed _u, _b, _bd) of the links of fetched pages (id, url, loaded_url,
+    text, crawl_depth). URLs and domains of bases are parsed once a page."""
+    o = options.strategy
+    x = pages.withColumn("loaded_url", F.coalesce("loaded_url", "url")).withColumn("_b", url_parts("url"))
+    none = F.lit(None).cast("string")
+    x = x.withColumn("base_url", F.col("url")).withColumn("_bd", registrable_domains(F.col("_b.host")) if o == "same-domain" else none)
+    if o in ("all", "same-domain"):
+        x = x.withColumn("_f", url_parts("loaded_url")).withColumn("_fd", registrable_domains(F.col("_f.host")) if o == "same-domain" else none)
+        x = x.withColumn("base_url", filter_base(F.lit(o), none, F.col("url"), F.col("loaded_url"), F.col("_bd"), F.col("_fd")))
+        own = F.col("base_url") == F.col("url")
+        x = x.withColumn("_b", F.when(own, F.col("_b")).otherwise(F.col("_f"))).withColumn("_bd", F.when(own, F.col("_bd")).otherwise(F.col("_fd")))
+    x = x.withColumn("src_id", F.col("id")).withColumn("depth", F.coalesce("crawl_depth", F.lit(0)))
+    return link_rows(x, ["src_id", "base_url", "depth", "_b", "_bd"], "text", "loaded_url", selector, repeats).withColumn("url", F.col("_u.href"))
 
 
 def seed_queue(spark: SparkSession, seeds: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def step(queue: DataFrame, batch: DataFrame, fetch: Fetcher, options: CrawlOptio
     state = written(A.next_state(x, o.default_retries), "attempts")
     ok = decoded(state.where("outcome = 'ok'"))
     items = o.extract(ok) if o.extract else None
-    fresh = to_requests(skip_reasons(links_of(ok, o.enqueue, o.selector), o.enqueue, robots), o.enqueue)
+    fresh = to_requests(skip_reasons(links_of(ok, o.enqueue, o.selector, repeats=False), o.enqueue, robots), o.enqueue)
     # A page's place in the batch and a link's place in the page give the order of adding.
     fresh = fresh.join(batch.select(F.col("id").alias("src_id"), F.col("order_no").alias("_order")), "src_id").withColumn("pos", F.struct("_order", "pos"))
     fresh = written(fresh.select("id", "url", "unique_key", "method", "crawl_depth", "enqueue_strategy", "label", "user_data", "pos"), "links")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawlnet.functions import robots as R
 from trawlnet.functions.charsets import content_type, prescan
-from trawlnet.functions.html import page_links, page_title, select
+from trawlnet.functions.html import link_rows, page_links, page_title, select
 from trawlnet.functions.keys import payload_hash, request_id
 from trawlnet.functions.patterns import passes
 from trawlnet.functions.sitemaps import change_frequency, lastmod_utc, sitemap_rows
@@ -38,7 +38,7 @@ def link_frontier(spark: SparkSession, d: str) -> DataFrame:
     """New requests of the captured pages: links, same hostname, keyed, the first of each id."""
     pages = _pages(spark, d).withColumn("id", F.col("response_id").cast("string")).withColumn("crawl_depth", F.lit(0))
     o = EnqueueOptions()
-    fresh = to_requests(skip_reasons(links_of(pages, o), o), o).withColumn("at", F.struct(F.col("src_id").cast("bigint"), "pos"))
+    fresh = to_requests(skip_reasons(links_of(pages, o, repeats=False), o), o).withColumn("at", F.struct(F.col("src_id").cast("bigint"), "pos"))
     first = fresh.groupBy("id").agg(F.min_by(F.struct("url", "unique_key", "crawl_depth", "src_id", "pos"), "at").alias("x"))
     return first.select("id", "x.*")
 
@@ -99,7 +99,7 @@ def links_per_page(spark: SparkSession, d: str) -> DataFrame:
 
 def top_linked(spark: SparkSession, d: str) -> DataFrame:
     """The hundred URLs most pages link to: a top-k."""
-    x = _pages(spark, d).select(F.explode(page_links(F.col("text"), F.col("url"))).alias("l")).select(F.col("l.url.href").alias("url"))
+    x = link_rows(_pages(spark, d), []).select(F.col("_u.href").alias("url"))
     return x.groupBy("url").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "url").limit(100)
 
 
