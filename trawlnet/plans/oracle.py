@@ -12,6 +12,11 @@ _HOST = r"""regexp_replace(lower(regexp_extract(regexp_replace(trim(regexp_repla
   '^[A-Za-z][A-Za-z0-9+.-]*:/{2,}([^/?#:]*)', 1)), '\.+$', '')"""
 
 _DOMAIN = r"""CASE WHEN regexp_full_match(host, '[0-9.]+|\[.*') THEN NULL ELSE nullif(regexp_extract(host, '([^.]+\.[^.]+)$', 1), '') END"""
+_CLEAN = r"trim(regexp_replace(regexp_replace({c}, '\x{{A0}}', ' ', 'g'), '[\t\r\n]', '', 'g'))"
+_AUTHORITY = "regexp_extract(" + _CLEAN + r", '^[A-Za-z][A-Za-z0-9+.-]*:/{{2,}}(?:[^/?#@]*@)?([^/?#]*)', 1)"
+_URL_SCHEME = "nullif(lower(regexp_extract(" + _CLEAN + ", '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), '')"
+_URL_HOST = "nullif(lower(regexp_extract(" + _AUTHORITY + ", '^([^:]*)', 1)), '')"
+_URL_PORT = "(SELECT CASE WHEN (s = 'http' AND p = 80) OR (s = 'https' AND p = 443) THEN NULL ELSE p END FROM (SELECT " + _URL_SCHEME + " AS s, try_cast(regexp_extract(" + _AUTHORITY + ", ':([0-9]+)$', 1) AS INT) AS p))"
 _ID = "left(regexp_replace(base64(unhex(sha256({text}))), '[+/=]', '', 'g'), {n})"
 _BODY = "decode(body)"
 _IS_PAGE = "status = 200 AND body IS NOT NULL AND mime IN ('text/html', 'application/xhtml+xml')"
@@ -68,6 +73,53 @@ SELECT response_id, len(list_filter(regexp_extract_all({_BODY}, '<a[^>]*href="([
     "page_headings": f"""
 WITH h AS (SELECT response_id, regexp_extract_all({_BODY}, '(?m)^<h2>(.*?)</h2>', 1) AS e FROM responses WHERE {_IS_PAGE})
 SELECT response_id, len(e)::BIGINT AS n, e[1] AS first_heading FROM h
+""",
+    "request_wire": """
+SELECT id, url, unique_key, upper(method) AS method, payload, coalesce(user_data->>'$.label', label) AS label, crawl_depth, max_retries, session_id, enqueue_strategy,
+  coalesce(no_retry, false) AS no_retry, coalesce(retry_count, 0) AS retry_count, coalesce(error_messages, []) AS error_messages FROM requests
+""",
+    "url_structs": f"""
+SELECT row_id, {_URL_SCHEME.format(c="url")} AS scheme, {_URL_HOST.format(c="url")} AS host, {_URL_PORT.format(c="url")} AS port FROM requests
+""",
+    # Two labels make a domain: right for the pseudo top-level domains of these tables only.
+    "scope_decisions": f"""
+WITH p AS (SELECT row_id, {", ".join(f"{q.format(c=c)} AS {n}{k}" for c, k in (("url", "o"), ("loaded_url", "t")) for n, q in (("s", _URL_SCHEME), ("h", _URL_HOST), ("p", _URL_PORT)))}
+  FROM requests WHERE loaded_url IS NOT NULL)
+SELECT row_id, true AS "all", regexp_replace(ho, '\\.$', '') = regexp_replace(ht, '\\.$', '') AS same_hostname, regexp_extract(ho, '([^.]+\\.[^.]+)\\.?$', 1) = regexp_extract(ht, '([^.]+\\.[^.]+)\\.?$', 1) AS same_domain,
+  ho = ht AND so = st AND po IS NOT DISTINCT FROM pt AS same_origin FROM p
+""",
+    "encoded_components": """
+SELECT case_id, replace(replace(replace(replace(url_encode(input), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')').replace('%2A', '*') AS encoded FROM normalize_url
+""",
+    "page_titles": f"""
+WITH t AS (SELECT response_id, regexp_extract({_BODY}, '(?is)<title>(.*?)</title>', 1) AS t FROM responses WHERE {_IS_PAGE})
+SELECT response_id, CASE WHEN t <> '' THEN trim(array_to_string(list_transform(string_split(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '&#'), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9]+;') THEN chr(regexp_extract(x, '^([0-9]+);', 1)::INT) || regexp_replace(x, '^[0-9]+;', '')
+  WHEN i > 1 THEN '&#' || x ELSE x END), '')) END AS title FROM t
+""",
+    "content_types": """
+WITH h AS (SELECT response_id, coalesce(list_filter(headers, lambda h: lower(h.name) = 'content-type')[1].value, '') AS v FROM responses),
+e AS (SELECT response_id, v, lower(trim(split_part(v, ';', 1))) AS m FROM h)
+SELECT response_id, CASE WHEN regexp_full_match(m, '[a-z0-9!#$&^_.+-]+/[a-z0-9!#$&^_.+-]+') THEN m ELSE 'application/octet-stream' END AS mime,
+  CASE WHEN regexp_full_match(m, '[a-z0-9!#$&^_.+-]+/[a-z0-9!#$&^_.+-]+') THEN nullif(regexp_extract(v, '(?i);\\s*charset\\s*=\\s*"?([^\\s";]+)', 1), '') END AS charset
+FROM e
+""",
+    "protocol_lastmods": r"""
+WITH t AS (SELECT row_id, trim(lastmod) AS t FROM sitemap_urls),
+d AS (SELECT row_id, CASE
+  WHEN regexp_full_match(t, '\d{4}-\d\d-\d\d[Tt]\d\d:\d\d(:\d\d(\.\d{1,6})?)?([Zz]|[+-]\d\d:\d\d)') THEN upper(t)
+  WHEN regexp_full_match(t, '\d{4}-\d\d-\d\d[Tt]\d\d:\d\d(:\d\d)?') THEN upper(t) || 'Z'
+  WHEN regexp_full_match(t, '\d{4}-\d\d-\d\d') THEN t || 'T00:00Z' WHEN regexp_full_match(t, '\d{4}-\d\d') THEN t || '-01T00:00Z' WHEN regexp_full_match(t, '\d{4}') THEN t || '-01-01T00:00Z' END AS d FROM t)
+SELECT row_id, try_cast(regexp_replace(d, 'T(\d\d:\d\d)(Z|[+-]\d\d:\d\d)$', 'T\1:00\2') AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS lastmod_utc FROM d
+""".replace("\\\\", "\\"),
+    # A score that never falls below 0 is the sum of the changes less the lowest sum so far, where that's below 0.
+    "session_health": """
+WITH s AS (SELECT user_id::VARCHAR AS session_id, event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE -0.5 END) OVER w AS s, count(*) OVER w AS n FROM events
+  WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT session_id, arg_max(s, event_id) - least(0, min(s)) AS score, max(n) AS n FROM s GROUP BY 1)
+SELECT session_id, n::INT AS usage, score::DOUBLE AS score, false AS retired, score < 3 AND n < 50 AS usable FROM f
+""",
+    "pretty_items": """
+SELECT row_id, regexp_replace(replace(replace(replace(json_pretty(item::JSON), E'\\n        ', E'\\n\\t\\t'), E'\\n    ', E'\\n  '), E'\\n\\t\\t', E'\\n    '), '": (-?[0-9]+)\\.0(,?)\\n', E'": \\\\1\\\\2\\n', 'g') AS text FROM dataset_items
 """,
     "declared_charsets": "SELECT case_id, expected AS charset FROM charset_prescan",
     "decoded_lengths": f"SELECT response_id, length({_BODY})::BIGINT AS n_chars FROM responses WHERE body IS NOT NULL",
@@ -145,6 +197,18 @@ w AS (SELECT signal, o, greatest(ms - lag(ms) OVER (PARTITION BY signal ORDER BY
 a AS (SELECT signal, sum(CASE WHEN p IS NULL THEN NULL WHEN w = 0 THEN o ELSE w * o END) / sum(CASE WHEN p IS NULL THEN NULL WHEN w = 0 THEN 1 ELSE w END) AS r,
   max(CASE WHEN p IS NULL THEN o END) AS f FROM w GROUP BY signal)
 SELECT signal, round(coalesce(r, f::DOUBLE, 0.0), 6) AS ratio, coalesce(r, f::DOUBLE, 0.0) > 0.2 AS is_overloaded FROM a
+""",
+    "backoffs": """
+WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS domain, epoch_us(ts) // 1000 AS at_ms, CASE WHEN event_type = 'error' THEN 'rate_limited' ELSE 'fetch' END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT domain, 0::BIGINT AS i, 0::BIGINT AS at_ms, '' AS kind, false AS applied, 0 AS n, 0::BIGINT AS until_ms, 0::BIGINT AS decays FROM e GROUP BY domain
+  UNION ALL
+  SELECT domain, i, at_ms, kind, applied, n, CASE WHEN hit THEN at_ms + delay ELSE until_ms END, CASE WHEN hit THEN at_ms + 2 * delay ELSE decays END
+  FROM (SELECT *, least(2000 * (1 << greatest(least(n - 1, 20), 0)), 60000) AS delay FROM (
+    SELECT e.domain, e.i, e.at_ms, e.kind, e.at_ms >= s.until_ms AS applied, e.kind = 'rate_limited' AND e.at_ms >= s.until_ms AS hit, s.until_ms, s.decays,
+      CASE WHEN NOT (e.kind = 'rate_limited' AND e.at_ms >= s.until_ms) THEN s.n WHEN e.at_ms >= s.decays THEN 1 ELSE s.n + 1 END AS n
+    FROM s JOIN e ON e.domain = s.domain AND e.i = s.i + 1)))
+SELECT domain, at_ms, kind, applied, n::INT AS n, until_ms, 0::BIGINT AS next_fetch_ms FROM s WHERE i > 0
 """,
     "dataset_page": "SELECT row_id AS seq, item FROM dataset_items ORDER BY row_id DESC LIMIT 50 OFFSET 100",
     "dataset_columns": """
