@@ -55,6 +55,42 @@ def test_crawl_pages_to_the_end(spark, tmp_path):
     }
 
 
+def test_crawl_with_handlers_and_robots(spark, monkeypatch):
+    from trawlnet.plans import crawl as plan
+
+    monkeypatch.setattr(plan, "PARTS", 3)
+    html = "text/html"
+    links = _page(["/a", "/b", "/private/x", "/flaky"])
+    pages = [("https://e.com/start", 200, html, links), ("https://e.com/a", 200, html, _page(["/b", "/start"])), ("https://e.com/b", 200, html, _page(["/c"])), ("https://e.com/c", 200, html, _page()),
+             ("https://e.com/private/x", 200, html, _page()), ("https://e.com/private/seed", 200, html, _page()), ("https://e.com/flaky", 503, html, _page())]
+    seeds = spark.createDataFrame([("https://e.com/start", 1, "front"), ("https://e.com/private/seed", 2, None)], "url string, pos bigint, label string")
+    robots = spark.createDataFrame([("https://e.com", "User-agent: *\nDisallow: /private/")], "origin string, content string")
+    o = CrawlOptions(
+        EnqueueOptions(label="detail"), batch=2, routes={"front": lambda p: p.select("id", F.lit("front").alias("item")), "detail": lambda p: p.select("id", F.lit("detail").alias("item"))},
+        before=lambda b: b.withColumn("user_data", F.lit('{"seen":1}')), on_failed=lambda f: f.select("id", F.concat(F.lit("failed "), "error_message").alias("item")),
+        on_error=lambda e: e.withColumn("no_retry", F.col("retry_count") >= 2),
+    )
+    out = crawl(spark, seeds, PagesFetcher(_responses(spark, pages)), o, robots)
+    assert out.stopped == "finished"
+    q = {r.url.removeprefix("https://e.com/"): r for r in out.queue.collect()}
+    assert set(q) == {"start", "a", "b", "c", "flaky", "private/seed"} and all(r.order_no is None and r.handled_at for r in q.values())
+    assert q["flaky"].retry_count == 2 and len(q["flaky"].error_messages) == 2 and q["b"].user_data == '{"seen":1}'
+    assert {(r.outcome, r.error_message): r.n for r in out.attempts.groupBy("outcome", "error_message").agg(F.count("*").alias("n")).collect()} == {
+        ("ok", None): 4, ("skipped", "robots.txt"): 1, ("retry", "status 503"): 1, ("failed", "status 503"): 1,
+    }
+    assert sorted(r.item for r in out.items.collect()) == ["detail"] * 3 + ["failed status 503", "front"]
+    lost = crawl(spark, seeds, PagesFetcher(_responses(spark, pages)), CrawlOptions(routes={"other": lambda p: p.select("id", F.lit("").alias("item"))}))
+    assert lost.stopped == "critical" and lost.attempts.where("error_message = 'no route for front'").count() == 1
+
+
+def test_pages_are_parsed_once(spark, data):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        queries.link_frontier(spark, data).explain()
+    plan = out.getvalue()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and plan.count("ArrowEvalPython") <= 2
+
+
 def test_redirects():
     h = {"Cookie": "x", "Accept": "y"}
     assert next_hop(303, "POST", "/n", "https://e.com/a", h) == ("https://e.com/n", "GET", h)

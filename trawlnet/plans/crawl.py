@@ -1,6 +1,7 @@
-"""A crawl as supersteps over DataFrames: fetch a batch of the queue, classify, extract, enqueue, commit.
+"""A crawl as supersteps over DataFrames: fetch a batch of the queue, classify, handle, enqueue, commit.
 
 Each step writes its tables to the shared folder, so the lineage stays short and a lost executor costs one step at most.
+The queue is never rewritten: a step appends what it adds, what it puts back and what it has handled (see Ledger).
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlnet import schemas
 from trawlnet.functions.charsets import decode_body, prescan, resolved_charset
 from trawlnet.functions.html import link_rows
+from trawlnet.functions.robots import robots_allowed
 from trawlnet.functions.suffixes import registrable_domains
 from trawlnet.functions.urls import filter_base, rejection, url_parts
 from trawlnet.operators import attempts as A
@@ -32,13 +34,24 @@ class CrawlOptions:
     batch: int = 10_000
     max_requests: int | None = None
     #: None: no limit, until the queue is empty.
-    max_steps: int | None = 100
+    max_steps: int | None = None
     default_retries: int = A.MAX_RETRIES
     page_types: tuple[str, ...] = A.PAGE_TYPES
     ignore_statuses: tuple[int, ...] = ()
     error_statuses: tuple[int, ...] = ()
     #: From the step's fetched pages (id, url, text, label, ...) the rows (id, item) to store.
     extract: Callable[[DataFrame], DataFrame] | None = None
+    #: As `extract`, by the request's label; others go to `extract`. Without that they're a critical error, which stops the crawl.
+    routes: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    #: Changes the requests of a step before they're fetched, and the responses before they're classified.
+    before: Callable[[DataFrame], DataFrame] | None = None
+    after: Callable[[DataFrame], DataFrame] | None = None
+    #: Of attempts that will be tried again, with their errors, the requests as they go back (no_retry, user_data, headers, ...).
+    on_error: Callable[[DataFrame], DataFrame] | None = None
+    #: Of requests that failed for good the rows (id, item) to store.
+    on_failed: Callable[[DataFrame], DataFrame] | None = None
+    #: Whose rules of robots.txt hold.
+    agent: str = "*"
 
 
 @dataclass
@@ -79,51 +92,139 @@ def seed_queue(spark: SparkSession, seeds: DataFrame) -> DataFrame:
     return Q.add_batch(empty, made.where("error is null").withColumn("crawl_depth", F.coalesce("crawl_depth", F.lit(0))))[0]
 
 
-def step(queue: DataFrame, batch: DataFrame, fetch: Fetcher, options: CrawlOptions, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(queue, attempts, items) after fetching one batch."""
+#: Parts of the queue after which they're written as one.
+PARTS = 24
+
+
+class Ledger:
+    """The queue as parts that are only appended to.
+
+    Order numbers are unique and a step takes the smallest there are, in front (negative) or not. So what a part has left
+    are its rows above the largest number taken since it was written: one number a part, and a filter that files are
+    skipped by. Requests that are put back come in a later part under their new number. All ids that ever came are known
+    from the parts, so a link to a handled request is no new one.
+    """
+
+    def __init__(self, queue: DataFrame) -> None:
+        self.columns, self.spark = queue.columns, queue.sparkSession
+        queue = written(queue, "queue")
+        self.handled = [queue.where("order_no is null")]
+        self.parts: list[tuple[DataFrame, int | None]] = [(queue.where("order_no is not null"), None)]
+        self.known = [queue.select("id")]
+        self.top = queue.agg(F.coalesce(F.max(F.abs("order_no")), F.lit(0))).first()[0]
+
+    def pending(self) -> DataFrame:
+        return _union([part if taken is None else part.where(F.col("order_no") > taken) for part, taken in self.parts])
+
+    def queue(self) -> DataFrame:
+        return _union([self.pending(), *self.handled])
+
+    def take(self, n: int) -> DataFrame:
+        batch = written(Q.fetch_next(self.pending(), n), "batch")
+        if (last := batch.agg(F.max("order_no")).first()[0]) is not None:
+            self.parts = [(part, last if taken is None else max(taken, last)) for part, taken in self.parts]
+        return batch
+
+    def _numbered(self, rows: DataFrame, pos: str, forefront: Column) -> DataFrame:
+        part = Q.with_row_numbers(rows, pos, "_n").withColumn("order_no", (F.col("_n") + self.top) * F.when(forefront, -1).otherwise(1))
+        for c in self.columns:
+            if c not in part.columns:
+                part = part.withColumn(c, F.lit(None))
+        kinds = dict(self.parts[0][0].dtypes)
+        part = written(part.select(*[F.col(c).cast(kinds[c]) if c != "in_progress" else F.lit(False).alias(c) for c in self.columns]), "queue")
+        self.top = part.agg(F.coalesce(F.max(F.abs("order_no")), F.lit(self.top))).first()[0]
+        return part
+
+    def commit(self, state: DataFrame, fresh: DataFrame) -> None:
+        """Adds a step's results: `state` are its requests with `next`, `fresh` new ones (with a unique pos), of which those
+        that are known stay out."""
+        done = state.where("next = 'handled'").withColumn("handled_at", F.coalesce("handled_at", F.current_timestamp())).withColumn("order_no", F.lit(None).cast("bigint"))
+        self.handled.append(written(done.withColumn("in_progress", F.lit(False)).select(*self.columns), "handled"))
+        back = state.where("next in ('front', 'end')").withColumn("_front", F.col("next") == "front")
+        self.parts.append((self._numbered(back, "order_no", F.col("_front")), None))
+        unknown = Q.first_of_each(fresh, "id", "pos").join(_union(self.known), "id", "left_anti")
+        part = self._numbered(unknown, "pos", F.lit(False))
+        self.parts.append((part, None))
+        self.known.append(part.select("id"))
+        if len(self.parts) > PARTS:
+            self.parts = [(written(self.pending().repartitionByRange("order_no"), "queue"), None)]
+            self.known = [written(_union(self.known), "known")]
+            self.handled = [written(_union(self.handled), "handled")]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def step(ledger: Ledger, batch: DataFrame, fetch: Fetcher, options: CrawlOptions, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(attempts, items) after fetching one batch, whose results the ledger has then.
+
+    Requests that robots.txt forbids aren't fetched: they're skipped.
+    """
     o = options
-    got = written(fetch(batch), "fetched")
-    x = batch.join(got.drop("headers", "redirects").withColumnRenamed("url", "_final"), batch["id"] == got["request_id"]).drop("request_id")
+    asked, denied = batch, None
+    if robots is not None:
+        checked = written(robots_allowed(batch, robots, o.agent).drop("crawl_delay"), "checked")
+        asked, denied = checked.where("allowed").drop("allowed"), checked.where("not allowed").drop("allowed")
+    if o.before:
+        asked = o.before(asked)
+    got = written(fetch(asked), "fetched")
+    x = asked.join(got.drop("headers", "redirects").withColumnRenamed("url", "_final"), asked["id"] == got["request_id"]).drop("request_id")
     x = x.withColumn("loaded_url", F.coalesce("_final", "url"))
+    if o.after:
+        x = o.after(x)
     x = x.withColumn("_t", url_parts("loaded_url")).withColumn("_o", url_parts("url"))
     x = x.withColumn("_td", registrable_domains(F.col("_t.host"))).withColumn("_od", registrable_domains(F.col("_o.host")))
     strategy = F.coalesce("enqueue_strategy", F.lit("all"))
     left = (F.col("loaded_url") != F.col("url")) & rejection(strategy, F.col("_t"), F.col("_o"), F.col("_td"), F.col("_od")).isNotNull()
     x = x.withColumn("_c", A.classify_response(F.col("status"), F.col("mime"), o.page_types, o.ignore_statuses, o.error_statuses, redirected_out=left))
     x = x.select("*", "_c.error_kind", "_c.error_message").drop("_c", "_t", "_o", "_td", "_od", "_final")
+    if o.routes and o.extract is None:
+        lost = F.col("error_kind").isNull() & ~F.coalesce(F.col("label").isin(*o.routes), F.lit(False))
+        x = x.withColumn("error_message", F.when(lost, F.concat(F.lit("no route for "), F.coalesce("label", F.lit("requests without a label")))).otherwise(F.col("error_message")))
+        x = x.withColumn("error_kind", F.when(lost, "critical").otherwise(F.col("error_kind")))
+    if denied is not None:
+        x = x.unionByName(denied.withColumn("error_kind", F.lit("skipped")).withColumn("error_message", F.lit("robots.txt")), allowMissingColumns=True)
     state = written(A.next_state(x, o.default_retries), "attempts")
+    if o.on_error:
+        again = F.col("outcome") == "retry"
+        back = o.on_error(state.where(again))
+        back = back.withColumn("next", F.when(F.coalesce("no_retry", F.lit(False)), "handled").otherwise(F.col("next"))).withColumn("outcome", F.when(F.col("next") == "handled", "failed").otherwise("retry"))
+        state = written(state.where(~again).unionByName(back.select(*state.columns)), "attempts")
     ok = decoded(state.where("outcome = 'ok'"))
-    items = o.extract(ok) if o.extract else None
+    handlers = [(F.col("label") == label, f) for label, f in o.routes.items()]
+    if o.extract:
+        handlers.append((~F.coalesce(F.col("label").isin(*o.routes), F.lit(False)) if o.routes else F.lit(True), o.extract))
+    items = [f(ok.where(mine)) for mine, f in handlers] + ([o.on_failed(state.where("outcome = 'failed'"))] if o.on_failed else [])
     fresh = to_requests(skip_reasons(links_of(ok, o.enqueue, o.selector, repeats=False), o.enqueue, robots), o.enqueue)
     # A page's place in the batch and a link's place in the page give the order of adding.
     fresh = fresh.join(batch.select(F.col("id").alias("src_id"), F.col("order_no").alias("_order")), "src_id").withColumn("pos", F.struct("_order", "pos"))
     fresh = written(fresh.select("id", "url", "unique_key", "method", "crawl_depth", "enqueue_strategy", "label", "user_data", "pos"), "links")
-    after = Q.mark_handled(queue, state.where("next = 'handled'").select("id"))
-    back = state.where("next in ('front', 'end')").select("id", (F.col("next") == "front").alias("forefront"), F.col("order_no").alias("pos"))
-    after = Q.reclaim(after, back)
-    keep = state.select("id", *[F.col(c).alias(f"_{c}") for c in ("retry_count", "error_messages", "loaded_url")])
-    after = after.join(keep, "id", "left")
-    for c in ("retry_count", "error_messages", "loaded_url"):
-        after = after.withColumn(c, F.coalesce(f"_{c}", c))
-    after = written(after.select(*queue.columns), "queue")
-    after = written(Q.add_batch(after, fresh)[0], "queue")
+    ledger.commit(state, fresh)
     log = state.select(F.col("id").alias("request_id"), "crawl_depth", (F.col("retry_count") + F.when(F.col("outcome") == "retry", 0).otherwise(1)).alias("attempt"), "outcome", "error_kind", "error_message", "status", "duration_ms", "retry_count")
-    return after, log, items
+    return log, _union(items) if items else None
 
 
 def crawl(spark: SparkSession, seeds: DataFrame, fetch: Fetcher, options: CrawlOptions | None = None, robots: DataFrame | None = None) -> CrawlResult:
-    """Crawls until nothing is left, the limit of requests is reached, or a critical error stops it."""
+    """Crawls until nothing is left, the limit of requests or steps is reached, or a critical error stops it."""
     o = options or CrawlOptions()
-    queue = written(seed_queue(spark, seeds), "queue")
-    logs, items, finished = None, None, 0
-    for n in count() if o.max_steps is None else range(o.max_steps):
+    ledger = Ledger(seed_queue(spark, seeds))
+    logs, items, finished, n, stopped = None, None, 0, 0, "steps"
+    for n in count():
         room = o.batch if o.max_requests is None else min(o.batch, o.max_requests - finished)
+        if n == o.max_steps:
+            break
         if room <= 0:
-            return CrawlResult(queue, logs, items, n, "limit")
-        batch = written(Q.fetch_next(queue, room), "batch")
+            stopped = "limit"
+            break
+        batch = ledger.take(room)
         if batch.isEmpty():
-            return CrawlResult(queue, logs, items, n, "finished")
-        queue, log, got = step(queue, batch, fetch, o, robots)
+            stopped = "finished"
+            break
+        log, got = step(ledger, batch, fetch, o, robots)
         logs = log if logs is None else logs.unionByName(log)
         if got is not None:
             got = written(got, "items")
@@ -131,5 +232,6 @@ def crawl(spark: SparkSession, seeds: DataFrame, fetch: Fetcher, options: CrawlO
         ended = log.agg(F.count_if(F.col("outcome").isin("ok", "failed", "skipped")).alias("n"), F.coalesce(F.bool_or(F.col("outcome") == "critical"), F.lit(False)).alias("c")).first()
         finished += ended.n
         if ended.c:
-            return CrawlResult(queue, logs, items, n + 1, "critical")
-    return CrawlResult(queue, logs, items, o.max_steps, "steps")
+            n, stopped = n + 1, "critical"
+            break
+    return CrawlResult(ledger.queue(), logs, items, n, stopped)
