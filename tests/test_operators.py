@@ -153,7 +153,13 @@ def test_compaction(spark, tmp_path):
     compaction.compact(spark, src, ["queue_id", "id"], "row_id", dst)
     assert spark.read.parquet(dst).count() == len(want) + 1
     assert len(list((tmp_path / "out").glob("batch=*"))) == 4
-    # A batch that runs again replaces its files.
+    # A batch that runs again (its commit was lost with the driver) replaces its files.
+    files = sorted(p.name for p in (tmp_path / "out" / "batch=3").glob("*.parquet"))
+    for p in (tmp_path / "out-checkpoint" / "commits").glob("*3*"):
+        p.unlink()
+    compaction.compact(spark, src, ["queue_id", "id"], "row_id", dst)
+    assert spark.read.parquet(dst).count() == len(want) + 1 and sorted(p.name for p in (tmp_path / "out" / "batch=3").glob("*.parquet")) != files
+    # Nothing new: nothing changes.
     before = sorted(map(str, spark.read.parquet(dst).select("row_id").collect()))
     compaction.compact(spark, src, ["queue_id", "id"], "row_id", dst)
     assert sorted(map(str, spark.read.parquet(dst).select("row_id").collect())) == before

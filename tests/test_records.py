@@ -96,6 +96,33 @@ def test_paths_after_an_escape_are_whole(spark):
     assert {r.id: r.allowed for r in robots.robots_allowed(urls, files).select("id", "allowed").collect()} == {1: False, 2: True}
 
 
+def test_store_writes_and_transactions(spark):
+    ds = spark.createDataFrame([(1, '{"a":1}')], "seq bigint, item string")
+    kv = spark.createDataFrame([("a", bytearray(b"1"), "text/plain", 4, False)], "key string, value binary, content_type string, seq bigint, deleted boolean")
+    new = spark.createDataFrame([(2, "b", "zwei"), (1, "b", "two"), (3, "a", "é")], "pos int, key string, text string")
+    after = stores.set_texts(kv, new)
+    assert {r.key: r.text for r in stores.get_text(stores.current(after)).collect()} == {"a": "é", "b": "zwei"}
+    assert [r.key for r in stores.current(stores.delete_keys(after, spark.createDataFrame([(1, "a"), (2, "none")], "pos int, key string"))).collect()] == ["b"]
+    with pytest.raises(Exception, match="not a valid key"):
+        stores.set_texts(kv, spark.createDataFrame([(1, "a/b", "x")], "pos int, key string, text string")).collect()
+    t, done = stores.Transaction(ds, kv), []
+    t.after_commit.append(lambda: done.append(1))
+    t.set_values(spark.createDataFrame([(1, "c", bytearray(b"3"), "text/plain")], "pos int, key string, value binary, content_type string"))
+    t.push_data(spark.createDataFrame([(1, '{"a":2}')], "pos int, item string"))
+    assert {r.key for r in t.get_text().collect()} == {"a", "c"} and not done
+    t.rollback()
+    assert {r.key for r in t.get_text().collect()} == {"a"}
+    t.after_commit.append(lambda: done.append(2))
+    t.push_data(spark.createDataFrame([(1, '{"a":3}')], "pos int, item string"))
+    dataset, records = t.commit()
+    assert [r.item for r in dataset.orderBy("seq").collect()] == ['{"a":1}', '{"a":3}'] and records.count() == 1 and done == [2]
+    catalog = spark.createDataFrame([("dataset", "d", 1, None, None), ("queue", "d", None, None, None)], "kind string, id string, item_count bigint, modified_at timestamp, accessed_at timestamp")
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    got = {r.kind: r for r in stores.touched(catalog, "dataset", "d", at, True, item_count=F.lit(2)).collect()}
+    assert got["dataset"].item_count == 2 and got["dataset"].modified_at and got["queue"].accessed_at is None
+    assert [r.kind for r in stores.drop(catalog, "dataset", "d").collect()] == ["queue"]
+
+
 def test_lookup(spark):
     q = spark.createDataFrame([("a", 1), ("b", 2)], "id string, order_no bigint")
     assert [r.id for r in frontier.lookup(q, spark.createDataFrame([("b",), ("b",), ("x",)], "id string")).collect()] == ["b"]

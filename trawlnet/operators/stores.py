@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trawlnet.functions.text import compact_json, pretty_json
 from trawlnet.operators.frontier import with_row_numbers
+from trawlnet.session import written
 
 KEY = r"^[A-Za-z0-9!\-_.'()]{1,256}$"
 
@@ -76,6 +78,28 @@ def current(records: DataFrame) -> DataFrame:
     return records.join(last, ["key", "seq"], "left_semi").where("not coalesce(deleted, false)")
 
 
+def set_values(records: DataFrame, values: DataFrame, pos: str = "pos") -> DataFrame:
+    """The records with writes (key, value, content_type) in the order of `pos`: the last of a key counts. A null value deletes
+    the key; keys that aren't valid raise when the result is read."""
+    checked = F.when(valid_key(F.col("key")), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("not a valid key: "), F.coalesce("key", F.lit("null")))).cast("string"))
+    base = records.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_base"))
+    new = with_row_numbers(values.select(pos, checked.alias("key"), "value", "content_type"), pos, "_n").crossJoin(F.broadcast(base))  # one row
+    return records.select("key", "value", "content_type", "seq", "deleted").unionByName(
+        new.select("key", "value", "content_type", (F.col("_base") + F.col("_n")).alias("seq"), F.col("value").isNull().alias("deleted"))
+    )
+
+
+def set_texts(records: DataFrame, texts: DataFrame, pos: str = "pos", content_type: str = "text/plain; charset=utf-8") -> DataFrame:
+    """set_values() for texts (key, text)."""
+    return set_values(records, texts.select(pos, "key", F.encode("text", "UTF-8").alias("value"), F.lit(content_type).alias("content_type")), pos)
+
+
+def delete_keys(records: DataFrame, keys: DataFrame, pos: str = "pos") -> DataFrame:
+    """The records after keys (key) were deleted; deleting what isn't there is no error."""
+    none = F.lit(None)
+    return set_values(records, keys.select(pos, "key", none.cast("binary").alias("value"), none.cast("string").alias("content_type")), pos)
+
+
 def list_keys(store: DataFrame, prefix: str = "", after: str | None = None, limit: int = 1000) -> DataFrame:
     """Keys with a prefix after a key, in byte order, with `is_last`: false on the last row of a page that goes on."""
     limit = max(1, limit)
@@ -114,6 +138,39 @@ def committed(attempts: DataFrame, outputs: str = "outputs") -> DataFrame:
     return attempts.where("outcome = 'ok'").select("request_id", "attempt", F.posexplode(outputs).alias("pos", "item"))
 
 
+class Transaction:
+    """Writes to a dataset and a key-value store that are seen in here at once and by others only after commit().
+
+    After rollback(), or without a commit, nothing was written. `after_commit` functions run once, after the commit.
+    """
+
+    def __init__(self, dataset: DataFrame, records: DataFrame) -> None:
+        self.base = dataset, records
+        self.dataset, self.records = self.base
+        self.after_commit: list[Callable[[], None]] = []
+
+    def push_data(self, items: DataFrame, pos: str = "pos") -> None:
+        self.dataset = push_data(self.dataset, items, pos)
+
+    def set_values(self, values: DataFrame, pos: str = "pos") -> None:
+        self.records = set_values(self.records, values, pos)
+
+    def get_text(self) -> DataFrame:
+        return get_text(current(self.records))
+
+    def rollback(self) -> None:
+        self.dataset, self.records = self.base
+        self.after_commit = []
+
+    def commit(self) -> tuple[DataFrame, DataFrame]:
+        """(dataset, records) with all writes, as tables of their own: what was checked is checked once, before anyone sees it."""
+        self.base = self.dataset, self.records = written(self.dataset, "dataset"), written(self.records, "records")
+        run, self.after_commit = self.after_commit, []
+        for f in run:
+            f()
+        return self.base
+
+
 def find_storage(catalog: DataFrame, kind: str, id: str | None = None, name: str | None = None) -> DataFrame:
     """The storage with an id (as it is) or a name (letter case of ASCII doesn't count); without both the default one."""
     x = catalog.where(F.col("kind") == kind)
@@ -126,3 +183,15 @@ def find_storage(catalog: DataFrame, kind: str, id: str | None = None, name: str
 def purge(catalog: DataFrame) -> DataFrame:
     """The catalog at the start of a run: storages of single runs (default and aliases) are gone."""
     return catalog.where("not coalesce(run_scoped, false)")
+
+
+def drop(catalog: DataFrame, kind: str, id: str) -> DataFrame:
+    """The catalog without a storage."""
+    return catalog.where(~((F.col("kind") == kind) & F.col("id").eqNullSafe(F.lit(id))))
+
+
+def touched(catalog: DataFrame, kind: str, id: str, at: Column, modified: bool = False, **counts: Column) -> DataFrame:
+    """The catalog after a storage was read, or written with `modified`; `counts` are its new counts, such as item_count."""
+    mine = (F.col("kind") == kind) & F.col("id").eqNullSafe(F.lit(id))
+    new = {"accessed_at": at} | ({"modified_at": at} if modified else {}) | counts
+    return catalog.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in new.items()})

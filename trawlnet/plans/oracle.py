@@ -217,6 +217,16 @@ SELECT row_id AS seq, item->>'$.url' AS url, item->>'$.title' AS title, (item->>
     "store_current": """
 SELECT dataset_id || '-' || seq AS key, row_id AS seq, item AS text FROM dataset_items
 QUALIFY row_number() OVER (PARTITION BY dataset_id, dataset_items.seq ORDER BY row_id DESC) = 1
+""",
+    "store_writes": """
+SELECT dataset_id AS key, coalesce(arg_max(coalesce(item->>'$.title', ''), row_id), '') AS text FROM dataset_items
+WHERE dataset_id IS NOT NULL AND right(dataset_id, 1) NOT IN ('0', '7') GROUP BY 1
+""",
+    "queue_lookup": "SELECT row_id, id FROM requests WHERE id IN (SELECT request_id FROM responses)",
+    "sitemap_scopes": f"""
+WITH p AS (SELECT row_id, {", ".join(f"{q.format(c=c)} AS {n}{k}" for c, k in (("sitemap_url", "o"), ("loc", "t")) for n, q in (("s", _URL_SCHEME), ("h", _URL_HOST), ("p", _URL_PORT)))} FROM sitemap_urls)
+SELECT row_id, st IS NOT NULL AND ht IS NOT NULL AS "all", coalesce(regexp_replace(ho, '\\.$', '') = regexp_replace(ht, '\\.$', ''), false) AS same_hostname,
+  coalesce(ho = ht AND so = st AND po IS NOT DISTINCT FROM pt, false) AS same_origin FROM p
 """,
     "store_keys": """
 WITH k AS (SELECT dataset_id || '-' || seq AS key, row_id, item FROM dataset_items QUALIFY row_number() OVER (PARTITION BY dataset_id, seq ORDER BY row_id DESC) = 1),

@@ -293,6 +293,27 @@ def store_current(spark: SparkSession, d: str) -> DataFrame:
     return x.join(stores.get_text(x), "key").where(stores.valid_key(F.col("key"))).select("key", "seq", "text")
 
 
+def store_writes(spark: SparkSession, d: str) -> DataFrame:
+    """The store after each item's title was written under its dataset's name and the keys that end with 0 or 7 were deleted."""
+    x = table(spark, d, "dataset_items").where("dataset_id is not null")
+    texts = x.select(F.col("row_id").alias("pos"), F.col("dataset_id").alias("key"), F.coalesce(F.get_json_object("item", "$.title"), F.lit("")).alias("text"))
+    records = stores.set_texts(_records(spark, d).limit(0), texts)
+    gone = x.select("dataset_id").distinct().where("right(dataset_id, 1) in ('0', '7')").select(F.col("dataset_id").alias("key"), F.col("dataset_id").alias("pos"))
+    return stores.get_text(stores.current(stores.delete_keys(records, gone)))
+
+
+def queue_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The stored requests that responses belong to."""
+    return Q.lookup(table(spark, d, "requests"), table(spark, d, "responses").select(F.col("request_id").alias("id"))).select("row_id", "id")
+
+
+def sitemap_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Sitemap entries by whether they lie on their sitemap's own host, by strategy."""
+    x = table(spark, d, "sitemap_urls").select("row_id", url_parts("sitemap_url").alias("o"), url_parts("loc").alias("t"))
+    none = F.lit(None).cast("string")
+    return x.select("row_id", *[in_scope(F.lit(s), F.col("t"), F.col("o"), none, none).alias(s.replace("-", "_")) for s in ("all", "same-hostname", "same-origin")])
+
+
 def store_keys(spark: SparkSession, d: str) -> DataFrame:
     """A page of keys: as many as a listing gives."""
     return stores.list_keys(stores.current(_records(spark, d)), "d0000", after="d000001", limit=1000)
@@ -358,7 +379,7 @@ _ALL = [
     encoded_components, links_per_page, top_linked, link_skip_reasons, page_titles, page_headings, declared_charsets, decoded_lengths, content_types,
     robots_decisions, sitemap_entries, change_frequencies, protocol_lastmods, frontier_first, frontier_add, frontier_next, frontier_counts, frontier_orders,
     crawl_pages, response_classes, retry_states, statistics, statistics_by_user, retry_counts, status_counts, error_counts, minute_loads, overload_ratios,
-    backoffs, session_health, dataset_page, dataset_columns, store_current, store_keys, pretty_items, p3_counts, p3_found, p5_domain_days, p5_domains, p6_found,
+    backoffs, session_health, dataset_page, dataset_columns, store_current, store_writes, queue_lookup, sitemap_scopes, store_keys, pretty_items, p3_counts, p3_found, p5_domain_days, p5_domains, p6_found,
 ]
 
 
