@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawlnet.session import written
+
 #: A key with more than this share of all rows is salted; at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.005
 SALTS = 64
@@ -20,8 +22,8 @@ SALTS = 64
 
 def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
     """Keys with more than `share` of all rows, counted over all rows; at most 1 / share of them."""
-    counts = rows.groupBy(key).count()
-    total = rows.count()
+    counts = written(rows.groupBy(key).count(), "counts")  # so the rows are read once for both
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     return [r[0] for r in counts.where(F.col("count") > max(1, total * share)).select(key).collect() if r[0] is not None]
 
 
